@@ -1,12 +1,13 @@
-"""All queries of the reference's operators, with their SQL."""
+"""All queries of the engine's own operators, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from kinfold.plans import q_families, q_tables  # noqa: F401
+from kinfold.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Neighbour graph, then purity, entropy, spread and conductance of every family."""
+    return q_families.cluster_table(spark, sf_dir)

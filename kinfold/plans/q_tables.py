@@ -132,13 +132,12 @@ def kmer_profile_5(spark, d):
     return km.kmer_counts(T(spark, d, "documents"), "doc_id", "text", [5]).withColumn("freq", F.round("freq", 6))
 
 
-@query(_kmer_sql(6))
+@query()
 def kmer_profile_6(spark, d):
     return km.kmer_counts(T(spark, d, "documents"), "doc_id", "text", [6]).withColumn("freq", F.round("freq", 6))
 
 
-@query("""WITH g AS (SELECT k, doc_id AS id, substr(text, CAST(i AS BIGINT), CAST(k AS BIGINT)) AS kmer FROM documents, range(3, 9) AS kk(k), range(1, length(text) - k + 2) AS r(i) WHERE length(text) >= k GROUP BY ALL)
-    SELECT CAST(k AS INT) AS k, count(DISTINCT kmer) AS vocabulary, count(DISTINCT id) AS rows, count(*) AS cells, round(count(*) / (count(DISTINCT kmer) * count(DISTINCT id)), 6) AS density FROM g GROUP BY k""")
+@query()
 def kmer_vocab_by_k(spark, d):
     return km.k_statistics(km.kmer_counts(T(spark, d, "documents"), "doc_id", "text", range(3, 9)))
 
@@ -198,7 +197,7 @@ def dedupe_key(spark, d):
 
 
 @query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN upper(replace(text, 'ß', 'SS')) ELSE text END AS text, role FROM conversations
-    UNION ALL SELECT -1 - conv_id, turn, upper(replace(text, 'ß', 'SS')), role FROM conversations WHERE role = 'user'""")
+    UNION ALL SELECT -1 - conv_id, turn, text, role FROM conversations WHERE role = 'user'""")
 def upsert_last_wins(spark, d):
     old = T(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     user = old.where("role = 'user'")

@@ -18,8 +18,8 @@ def nonempty(s: Column) -> Column:
 def kmers(sequence: Column, k: int | Column) -> Column:
     """All overlapping substrings of length k; none if the sequence is shorter."""
     k = F.lit(k) if isinstance(k, int) else k
-    # every position looks ahead, in one pass; the guard keeps it from entering a surrogate pair
-    ahead = F.concat(F.lit(r"(?s)(?<![\x{D800}-\x{DBFF}])(?=(.{"), k.cast("string"), F.lit("}))"))
+    # every position looks ahead and then takes one character, so the scan is linear in the text
+    ahead = F.concat(F.lit("(?s)(?=(.{"), k.cast("string"), F.lit("}))."))
     return F.regexp_extract_all(sequence, ahead, F.lit(1))
 
 
@@ -40,7 +40,7 @@ def accession_path(accession: Column, base: str = "", suffix: str = ".gb") -> Co
 def mask_rare_residues(sequence: Column) -> Column:
     """Upper case, with the residues U, Z, O and B as X, and spaces between residues."""
     clean = F.regexp_replace(F.upper(sequence), "[UZOB]", "X")
-    return F.array_join(F.split(clean, "(?!^)"), " ")
+    return F.regexp_replace(clean, "(?s)(.)(?=.)", "$1 ")
 
 
 def hypothetical(product: Column) -> Column:

@@ -98,7 +98,9 @@ def _dressed(kind: Column, entity: Column, name: Column) -> Column:
         n = F.substring(name, k.cast("int"), F.lit(1))
         return F.when(strip & c.rlike(SEPARATORS), c).when(c.rlike(r"\p{Lu}"), F.upper(n)).otherwise(n)
 
-    return F.when(kind == "ip", name).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), one), ""))
+    spelled = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), one), "")
+    shout = (entity == F.upper(entity)) & (entity != F.lower(entity))
+    return F.when(kind == "ip", name).when(shout, F.upper(spelled)).otherwise(spelled)
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kinfold.llm.bpe import bpe_digests
 from kinfold.llm.exact_dedup import patricia_owners
 from kinfold.llm.language_id import fit_filters, identify_languages
-from kinfold.llm.line_dedup import dedup_lines
+from kinfold.llm.line_dedup import line_decisions
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.pii import pseudonymize
 from kinfold.llm.quality_mil import fit_quality, score_quality
@@ -50,7 +50,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return line_decisions(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,3 +35,20 @@ def packed(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+_held: dict[str, tuple[str, object]] = {}
+
+
+def worker_cache(owner: str, key: str, build):
+    """What an operator keeps in a worker process between tasks: one object for one owner."""
+    got = _held.get(owner)
+    if got is None or got[0] != key:
+        _held.clear()
+        _held[owner] = (key, build())
+    return _held[owner][1]
+
+
+def release_worker_cache() -> None:
+    """Workers are used again by later operators, which need no memory of earlier ones."""
+    _held.clear()

@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from kinfold.llm.arrow import schema_of, spark_ddl
+from kinfold.llm.arrow import schema_of, spark_ddl, worker_cache
 
 #: White space by the Unicode property, as the tokenizer files mean it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -112,7 +112,7 @@ class MergeList:
         key = (a, b)
         ok = self._pairs.get(key)
         if ok is None:
-            if len(self._pairs) > 400_000:
+            if len(self._pairs) > 150_000:
                 self._pairs.clear()
             ok = self._pairs[key] = self.merged(a + b) == [a, b]
         return ok
@@ -148,7 +148,7 @@ class Transducer:
         m, first = self.m, len(self.text) + 1
         self.text += more
         text, last, ids, known = self.text, self.last, self.m.ids, self.m.heads
-        if len(known) > 400_000:
+        if len(known) > 150_000:
             known.clear()
         for i in range(first, len(text) + 1):
             if i < 24 and not self.base and (token := known.get(text[:i])):
@@ -221,7 +221,8 @@ class WordTokenizer:
     """
 
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^%s\p{L}\p{N}]+" % WHITE
-    CACHE = 600_000
+    #: Entries of one generation of the cache of words and pieces; two are held.
+    CACHE = 250_000
 
     def __init__(self, spec: str | dict):
         spec = json.loads(spec) if isinstance(spec, (str, bytes)) else spec
@@ -240,8 +241,8 @@ class WordTokenizer:
         back = {c: b for b, c in enumerate(self.letters)}
         end = self.merges.suffix
         self.raw = [t.encode() if t in self.added else bytes(back[c] for c in t.removesuffix(end)) + b" " * (bool(end) and t.endswith(end)) for t in (self.strings.get(i, "") for i in range(len(self.joined)))]
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         symbols = self.merges.piece("".join(map(self.letters.__getitem__, piece.encode())))
@@ -251,38 +252,40 @@ class WordTokenizer:
         ids = self.merges.ids
         return np.array([ids[t] for t in out], "<u4").tobytes()
 
+    def _keep(self, word: str, got: bytes) -> bytes:
+        """Remember a short word or piece; the older generation goes when the younger is full."""
+        if len(word) < 64:
+            if len(self._known) >= self.CACHE:
+                self._older, self._known = self._known, {}
+            self._known[word] = got
+        return got
+
     def _word(self, word: str) -> bytes:
+        """A word that the younger generation lacks. A piece that stands alone is a word like any other."""
+        got = self._older.get(word)
+        if got is not None:
+            return self._keep(word, got)
         text = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        cache, out = self._pieces, []
+        out = []
         for p in self.pieces.findall(text):
-            got = cache.get(p)
-            if got is None:
-                got = self._piece(p)
-                if len(p) < 64:
-                    if len(cache) > self.CACHE:
-                        cache.clear()
-                    cache[p] = got
-            out.append(got)
-        got = b"".join(out)
-        if len(word) < 64:
-            if len(self._words) > self.CACHE:
-                self._words.clear()
-            self._words[word] = got
-        return got
+            got = self._known.get(p) or self._older.get(p) or self._piece(p)
+            out.append(got if p == word else self._keep(p, got))
+        return self._keep(word, b"".join(out))
 
     def encode_bytes(self, text: str | None) -> Iterator[bytes]:
         """Blocks of identifiers as little-endian unsigned 32-bit integers."""
         if not text:
             return
         parts = self.special.split(text) if self.special and self.hint in text else [text]
-        known, miss = self._words.get, self._word
+        miss = self._word
         for part in parts:
             if part in self.added:
                 yield np.array([self.added[part]], "<u4").tobytes()
                 continue
             words = self.words.findall(part) if self.odd.search(part) else part.split()
-            for a in range(0, len(words), 1 << 14):
-                yield b"".join([known(w) or miss(w) for w in words[a : a + (1 << 14)]])
+            for a in range(0, len(words), 1 << 12):
+                known = self._known.get
+                yield b"".join([known(w) or miss(w) for w in words[a : a + (1 << 12)]])
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(b"".join(self.encode_bytes(text)), "<u4").tolist()
@@ -302,15 +305,9 @@ class WordTokenizer:
         return "".join(self.decode_blocks([np.array(list(ids), "<u4").tobytes()], as_bytes))
 
 
-_built: dict[str, WordTokenizer] = {}
-
-
 def _tokenizer(spec: str) -> WordTokenizer:
     """One tokenizer for each worker process and file."""
-    if spec not in _built:
-        _built.clear()
-        _built[spec] = WordTokenizer(spec)
-    return _built[spec]
+    return worker_cache("bpe", spec, lambda: WordTokenizer(spec))
 
 
 def _run(docs: DataFrame, spec: str, id_col: str, col: str, fields, one):

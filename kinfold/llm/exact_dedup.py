@@ -11,7 +11,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinfold.llm.arrow import schema_of, spark_ddl
+from kinfold.llm.arrow import release_worker_cache, schema_of, spark_ddl
 from kinfold.plans.tables import materialize
 
 
@@ -153,6 +153,7 @@ _RESULT = [("len", pa.int64()), ("sha", pa.string()), ("keep_id", pa.int64()), (
 
 def _tries(batches, largest: bool, budget: int, final: bool):
     """The owners of a partition's rows (bytes, owner, n), by one trie of full byte strings."""
+    release_worker_cache()
     trie = PatriciaTrie(budget, largest)
     for b in batches:
         for key, owner, n in zip(*(b.column(i).to_pylist() for i in range(3))):

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinfold.llm.arrow import packed, schema_of, spark_ddl
+from kinfold.llm.arrow import packed, release_worker_cache, schema_of, spark_ddl
 
 PASSAGE_WORDS = 64
 BLOCK = 1 << 19
@@ -150,6 +150,7 @@ class GatedMIL:
 
 
 def _bags(batches, most: int):
+    release_worker_cache()
     for b in batches:
         rows = []
         for key, label, text in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -190,6 +191,7 @@ def score_quality(docs: DataFrame, model: GatedMIL, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release_worker_cache()
         net = shared.value
         for b in batches:
             cols = list(zip(*net.scores(b.column(1).to_pylist()))) or [(), (), ()]
@@ -203,6 +205,7 @@ def filter_quality(docs: DataFrame, model: GatedMIL, text_col: str = "text", thr
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
+        release_worker_cache()
         net = shared.value
         for b in batches:
             yield b.filter(pa.array([p >= threshold for p, _, _ in net.scores(b.column(at).to_pylist())], pa.bool_()))

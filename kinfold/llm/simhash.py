@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinfold.llm.arrow import schema_of, spark_ddl
+from kinfold.llm.arrow import release_worker_cache, schema_of, spark_ddl
 from kinfold.operators.components import connected_components
 from kinfold.plans.tables import materialize
 
@@ -42,6 +42,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def _fingerprints(batches, width: int):
+    release_worker_cache()
     for b in batches:
         fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], schema=schema_of(_FP))

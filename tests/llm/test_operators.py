@@ -12,10 +12,10 @@ import pytest
 import regex
 import xxhash
 
-from kinfold.llm import bpe, simhash
+from kinfold.llm import bpe, line_dedup, simhash
 from kinfold.llm.exact_dedup import PatriciaTrie, patricia_owners
 from kinfold.llm.language_id import LanguageFilters, _blocks, fit_filters, identify_languages
-from kinfold.llm.line_dedup import dedup_lines, line_decisions
+from kinfold.llm.line_dedup import MIN_WORDS, dedup_lines, line_decisions
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.pii import PATTERN, pseudonymize
 from kinfold.llm.quality_mil import GatedMIL, fit_quality, score_quality
@@ -276,6 +276,61 @@ def test_lines(spark, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("hot", [64, 2])
+def test_fuzzy_lines_against_all_pairs(spark, monkeypatch, hot):
+    """Groups and removed lines from every pair of lines, in crowded blocks and in others."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(11)
+    base = [[f"w{r.randrange(9999)}" if r.random() < 0.9 else f"longerwords{r.randrange(99)}" for _ in range(n)] for n in (60, 60, 80, 12, 5)]
+    lines = []
+    for b in base:
+        for _ in range(5):
+            c = list(b)
+            for _ in range(r.randrange(3)):
+                c[r.randrange(len(c))] = f"x{r.randrange(99)}"
+            lines.append(" ".join(c))
+    lines += ["", "--", "same", "Same!", lines[0].upper(), lines[3] + " end", "İİ İ" + " i" * 5]
+    r.shuffle(lines)
+    docs = [(i + 1, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(len(lines) // 4)] + [(None, lines[0] + "\n" + lines[1]), (90, None)]
+    d = spark.createDataFrame([(i, t, "", "") for i, t in docs], DDL).repartition(3)
+    got = {x["doc_id"]: x["removed"] for x in line_decisions(d).collect()}
+    prints = {(x["doc_id"], x["no"]): (x["h"], x["fp"]) for x in line_dedup.line_prints(d.selectExpr("doc_id", "text", "xxhash64(text) as tag")).collect()}
+    norms = {(i, no): " ".join(regex.findall(r"[\p{L}\p{N}]+", t.lower())) for i, whole in docs if whole for no, t in enumerate(whole.split("\n"))}
+    places = sorted((k for k in norms if norms[k]), key=lambda k: (k[0] is None, k[0] or 0, k[1]))
+    assert set(places) == set(prints)
+    assert all((prints[k][1] is None) == (len(norms[k].split()) < MIN_WORDS) for k in places)
+    parent = {k: k for k in places}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    fuzzy = 0
+    for n, b in enumerate(places):
+        for a in places[:n]:
+            x, y = norms[a], norms[b]
+            near = prints[a][1] is not None and prints[b][1] is not None and ((prints[a][1] ^ prints[b][1]) & (1 << 64) - 1).bit_count() <= 3
+            if x == y or near and edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
+                fuzzy += x != y
+                ra, rb = sorted((root(a), root(b)), key=places.index)
+                parent[rb] = ra
+    want = {i: [] for i, _ in docs}
+    for k in places:
+        if root(k) != k:
+            want[k[0]].append(k[1])
+    assert fuzzy > 5 and got == {i: sorted(v) for i, v in want.items()}
+
+
 def test_surrogates(spark, empty):
     t1 = "Write to Anna.Berg@mail.example.com or +1 (974) 555-3436, card 4845168114407329, ip 10.20.30.40; Mrs. Helen Park"
     t2 = 'anna.berg@mail.example.com and otto@x.org TOKEN = "2ABC3FF2CA8FB1E4C565A0EB63815530A948BDDE" Mr. Paul Stone'

@@ -15,7 +15,7 @@ import xxhash
 from kinfold.llm import bpe, line_dedup, simhash
 from kinfold.llm.exact_dedup import PatriciaTrie, patricia_owners
 from kinfold.llm.language_id import LanguageFilters, _blocks, fit_filters, identify_languages
-from kinfold.llm.line_dedup import LONG, MIN_WORDS, dedup_lines, line_decisions
+from kinfold.llm.line_dedup import MIN_WORDS, dedup_lines, line_decisions
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.pii import PATTERN, pseudonymize
 from kinfold.llm.quality_mil import GatedMIL, fit_quality, score_quality
@@ -309,12 +309,10 @@ def test_fuzzy_lines_against_all_pairs(spark, monkeypatch, hot):
     assert set(places) == set(prints)
     for k in places:
         ws, sums = norms[k].split(), [0] * 64
-        for w in ws:
-            if w is ws[0] or len(w) >= LONG:
-                anchor = xxhash.xxh64_intdigest(w.encode(), 42)
-            h = xxhash.xxh64_intdigest(anchor.to_bytes(8, "little"), xxhash.xxh64_intdigest(w.encode(), 42))
+        for w in set(ws):
+            h = xxhash.xxh64_intdigest(w.encode(), 42)
             sums = [c + (h >> i & 1) for i, c in enumerate(sums)]
-        want_fp = sum(1 << i for i, c in enumerate(sums) if 2 * c > len(ws))
+        want_fp = sum(1 << i for i, c in enumerate(sums) if 2 * c > len(set(ws)))
         assert prints[k][1] is None if len(ws) < MIN_WORDS else prints[k][1] & (1 << 64) - 1 == want_fp
     parent = {k: k for k in places}
 

@@ -46,7 +46,9 @@ class PatriciaTrie:
     with ``largest`` the largest; None ranks below every identifier) and a count. When
     the labels held exceed ``budget`` bytes, the largest child of the root moves to a
     temporary file; later strings under it are appended there, and ``items`` rebuilds
-    it as a trie of its own, which may spill again further down.
+    it as a trie of its own, which may spill again further down. A string that leaves the
+    label of a spilled child splits it like any other; the file holds whole strings, so
+    it stays as it is.
     """
 
     def __init__(self, budget: int = 192 << 20, largest: bool = False, depth: int = 0):
@@ -78,11 +80,11 @@ class PatriciaTrie:
                 node.kids[first] = new
                 self._grow(top, len(key) - pos + 200)
                 return
-            if kid.spill is not None:
-                pickle.dump((key, owner, count), kid.spill)
-                return
             label = kid.label
             if key.startswith(label, pos):
+                if kid.spill is not None:
+                    pickle.dump((key, owner, count), kid.spill)
+                    return
                 node, pos = kid, pos + len(label)
                 continue
             k = _common(label, key[pos : pos + len(label)])
@@ -106,10 +108,15 @@ class PatriciaTrie:
         if not live:
             return
         byte = max(live, key=live.get)
-        file = tempfile.TemporaryFile(dir=os.environ.get("TMPDIR"))
         kid = self.root.kids[byte]
-        for key, owner, count in self._walk(kid, b""):
-            pickle.dump((b"\0" * self.depth + key, owner, count), file)
+        files = [n.spill for n, _ in self._nodes(kid, b"") if n.spill is not None]
+        file = files[0] if files else tempfile.TemporaryFile(dir=os.environ.get("TMPDIR"))
+        for node, key in self._nodes(kid, b"\0" * self.depth):
+            if node.count:
+                pickle.dump((key, node.owner, node.count), file)
+        for other in files[1:]:
+            for row in self._rows(other):
+                pickle.dump(row, file)
         stub = _Node(kid.label)
         stub.spill = file
         self.root.kids[byte] = stub
@@ -117,34 +124,38 @@ class PatriciaTrie:
         self.under[byte] = 0
 
     @staticmethod
-    def _walk(node: _Node, prefix: bytes) -> Iterator[tuple[bytes, object, int]]:
+    def _nodes(node: _Node, prefix: bytes) -> Iterator[tuple[_Node, bytes]]:
+        """The nodes of a subtree with their strings."""
         stack = [(node, prefix)]
         while stack:
             n, p = stack.pop()
             p += n.label
-            if n.count:
-                yield p, n.owner, n.count
+            yield n, p
             if n.kids:
                 stack.extend((k, p) for k in n.kids.values())
 
+    @staticmethod
+    def _rows(file) -> Iterator[tuple[bytes, object, int]]:
+        """What a temporary file holds; it is closed at the end."""
+        file.seek(0)
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                break
+        file.close()
+
     def items(self, prefix: bytes = b"") -> Iterator[tuple[bytes, object, int]]:
         """Every distinct string with its owner and count."""
-        if self.root.count:
-            yield prefix, self.root.owner, self.root.count
-        for kid in (self.root.kids or {}).values():
-            if kid.spill is None:
-                yield from self._walk(kid, prefix)
+        for node, key in self._nodes(self.root, prefix):
+            if node.spill is None:
+                if node.count:
+                    yield key, node.owner, node.count
                 continue
-            kid.spill.seek(0)
-            sub = PatriciaTrie(self.budget, self.largest, self.depth + len(kid.label))
-            while True:
-                try:
-                    key, owner, count = pickle.load(kid.spill)
-                except EOFError:
-                    break
-                sub.insert(key, owner, count)
-            kid.spill.close()
-            yield from sub.items(prefix + kid.label)
+            sub = PatriciaTrie(self.budget, self.largest, self.depth + len(key) - len(prefix))
+            for row in self._rows(node.spill):
+                sub.insert(*row)
+            yield from sub.items(key)
 
 
 _OWNERS = [("len", pa.int64()), ("sha", pa.string()), ("bytes", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())]

@@ -9,7 +9,7 @@ from kinfold.llm.exact_dedup import patricia_owners
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.quality_mil import filter_quality, fit_quality
 from kinfold.llm.queries import remainder, tokenizer_spec
-from kinfold.llm.simhash import simhash_components
+from kinfold.llm.simhash import simhash_firsts
 from kinfold.plans.tables import materialize, table
 
 
@@ -18,19 +18,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"), remainder(3) != 1))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    d = dropped.select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(d, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+def _one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each pair ``(doc_id, sha)`` of identifier and text digest in ``kept``.
+
+    Of rows that share both, the first in the order of all columns stays.
+    """
+    key = [F.coalesce("doc_id", F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("key_null")]
+    rows = docs.groupBy(*key, F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.join(kept.select(*key, "sha").distinct(), ["key_id", "key_null", "sha"], "left_semi").select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest identifier."""
-    return _without(docs, patricia_owners(docs, largest=True).where("not kept"))
+    """Of equal texts, one row with the largest identifier (null below all others).
+
+    Rows go by identifier and text, so that a row never takes others of its identifier with
+    it; of repeats of a whole row one stays.
+    """
+    return _one_of_each(docs, patricia_owners(docs, largest=True).where("kept").select("doc_id", F.col("text_sha256").alias("sha")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies linked by SimHash, the document with the smallest identifier."""
-    return _without(docs, simhash_components(docs).where("not (doc_id <=> component_id)"))
+    """Of near copies linked by SimHash, one row with the smallest identifier (null last).
+
+    Rows go by identifier and text, as in ``exact_dedup``.
+    """
+    return _one_of_each(docs, simhash_firsts(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

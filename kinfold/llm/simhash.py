@@ -41,11 +41,12 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * total > n).tolist())
 
 
-def _fingerprints(batches, width: int):
+def _fingerprints(batches, width: int, fields=_FP):
+    """Rows (doc_id, text, others) with the fingerprint in place of the text."""
     release_worker_cache()
     for b in batches:
         fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], schema=schema_of(_FP))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], schema=schema_of(fields))
 
 
 def pigeonring(diff: Column, distance: int = 3) -> Column:
@@ -142,6 +143,26 @@ def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return pairs.unionByName(hot.groupBy("key", "x", "y").applyInArrow(_block_links(distance), spark_ddl(_EDGE)))
 
 
+def _members(fp: DataFrame, distance: int) -> DataFrame:
+    """Rows ``(fp, least, component)``: every fingerprint's smallest identifier and its component."""
+    owners = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-owners")
+    comps = connected_components(near_links(owners.select("fp"), distance))
+    owners = owners.join(comps.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return materialize(owners, "simhash-members")
+
+
+def simhash_firsts(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
+    """One row ``(doc_id, sha)`` for each component of ``simhash_components``: the smallest
+    identifier, null last, then the smallest SHA-256 of the text."""
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    fields = [*_FP, ("sha", pa.string())]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", sha.alias("sha"))
+    fp = materialize(rows.mapInArrow(lambda it: _fingerprints(it, width, fields), spark_ddl(fields)), "simhash-fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("first")
+    per = fp.groupBy("fp").agg(first).join(_members(fp, distance), "fp")
+    return per.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.sha")
+
+
 def simhash_components(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row ``(doc_id, fingerprint, component_id)`` for each row of ``docs``.
 
@@ -153,10 +174,7 @@ def simhash_components(docs: DataFrame, width: int = 3, distance: int = 3, id_co
     other columns are not read; an empty table gives an empty table.
     """
     fp = materialize(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda it: _fingerprints(it, width), spark_ddl(_FP)), "simhash-fp")
-    owners = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-owners")
-    comps = connected_components(near_links(owners.select("fp"), distance))
-    owners = owners.join(comps.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    owners = materialize(owners, "simhash-members")
+    owners = _members(fp, distance)
     names = owners.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialize(owners.join(materialize(names, "simhash-names"), "component").select("fp", "component_id"), "simhash-named")
     out = fp.join(named, "fp")

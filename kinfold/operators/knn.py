@@ -31,6 +31,17 @@ def fast_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T))
 
 
+def slack(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """For every row of ``a``, twice what rounding can make of a fast distance to a row of ``b``
+    (of a squared one for the Euclidean metric)."""
+    n = 8 * (a.shape[1] + 8) * np.finfo(float).eps
+    if metric == "cosine":
+        return np.full(len(a), n)
+    if metric == "manhattan":
+        return n * (np.abs(a).sum(1) + np.abs(b).sum(1).max())
+    return n * ((a * a).sum(1) + (b * b).sum(1).max())
+
+
 def pair_blocks(df: DataFrame, id_col: str, vec_col: str, extra: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """Every row once as a query and once as a reference in each pair of blocks (qb, rb)."""
     n = max(1, -(-df.count() // block))
@@ -51,8 +62,11 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "euclide
     """Rows (src, dst, d, rank): the k nearest rows of every row; ties go to the smaller identifier.
 
     Pairs of blocks are compared by matrix products, and only k rows a query leave each;
-    no pair is shuffled. ``drop_zero`` drops duplicates at distance zero.
+    no pair is shuffled. All rows that rounding may have put behind the k-th, and all that
+    tie with it, are ranked by exact distances. ``drop_zero`` drops duplicates at distance
+    zero, before the k are taken.
     """
+    tie = 2e-12  # distances that are equal after rounding
 
     def run(key, table):
         ids, v, query = block_arrays(table)
@@ -63,9 +77,14 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "euclide
             d = fast_distances(v[q], v[ri], metric)
             if not include_self:
                 d[ids[q][:, None] == ids[ri][None]] = np.inf
-            m = min(len(ri), k + 16)
-            best = np.argpartition(d, m - 1, axis=1)[:, :m]
-            for i, row in zip(q, best):
+            wide = slack(v[q], v[ri], metric)
+            if drop_zero:
+                for i, near in enumerate(d <= (np.sqrt(wide) if metric == "euclidean" else wide)[:, None]):
+                    near = np.flatnonzero(near)
+                    d[i, near[exact_distances(v[ri[near]], v[q[i]][None], metric) <= 0]] = np.inf
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(ri) else np.full(len(q), np.inf)
+            most = (np.sqrt(kth * kth + wide) if metric == "euclidean" else kth + wide) + tie
+            for i, row in zip(q, ~(d > most[:, None])):
                 c = ri[row]
                 e = exact_distances(v[c], v[i][None], metric)
                 ok = np.ones(len(c), bool) if include_self else ids[c] != ids[i]

@@ -24,6 +24,7 @@ PATTERN = "|".join(f"(?:{p})" for p in DETECTORS.values())
 KINDS = {"vowel": "aeiou", "consonant": "bcdfghklmnprstvz", "cyrillic_vowel": "аеиоуя", "cyrillic_consonant": "бвгдзклмнпрст", "greek": "αβγδεικλμνορστυω", "accented": "áéíóúàèâêôäöü", "digit": "0123456789"}
 _MEMBERS = {"vowel": "aeiouy", "consonant": "bcdfghjklmnpqrstvwxz", "cyrillic_vowel": "аеёиоуыэюя", "cyrillic_consonant": "бвгджзйклмнпрстфхцчшщьъ", "greek": "αβγδεζηθικλμνξοπρσςτυφχψω", "digit": "0123456789"}
 SEPARATORS = r"[ ().-]"
+ATTEMPTS = 64  # draws of an entity's own length; each further one is a character longer, where its type allows
 
 
 def kind_of(entity: Column) -> Column:
@@ -51,6 +52,13 @@ def _pick(chars: str, n: Column) -> Column:
     return F.substring(F.lit(chars), F.pmod(n, F.lit(len(chars))).cast("int") + 1, F.lit(1))
 
 
+def _growth(kind: Column, name: Column) -> Column:
+    """The number of characters before the place where a surrogate may grow: of a personal name
+    before its last letter, of an address at the end of its local part, of a phone number at
+    the end. Null for the other types, which have millions of surrogates at any length."""
+    return F.when(kind.isin("person_f", "person_m"), F.length(name) - 1).when(kind == "email", F.instr(name, "@") - 1).when(kind == "phone", F.length(name))
+
+
 def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
     """The keyed stand-in of a canonical entity, of the same type, script and format.
 
@@ -58,7 +66,8 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
     hexadecimal, vowels vowels and consonants consonants of the same script. The last
     letter of a personal name stays, and so does its gender's ending, as do title,
     country code, issuer digit and top-level domain. Addresses keep valid octets, cards
-    their check digit.
+    their check digit. From the attempt ATTEMPTS on, a name, address or phone number grows
+    by characters of the kind of its last free one.
     """
     seed = F.concat_ws("\x1f", F.lit(key), kind, name, attempt.cast("string"))
     stream = F.concat(*[F.sha2(F.concat(F.lit(f"{i}:"), seed), 512) for i in range(4)])
@@ -66,13 +75,15 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
     size, prefix = F.length(name), _kept_prefix(kind, name)
     suffix = F.when(kind == "email", F.length(F.regexp_extract(name, r"(\.[^.]*)$", 1))).when(kind.isin("person_f", "person_m"), F.lit(1)).otherwise(F.lit(0))
 
-    def swap(i: Column) -> Column:
-        c, n = F.substring(name, i, F.lit(1)), byte(i)
+    def drawn(c: Column, n: Column) -> Column:
         new = F.when(c.rlike("[0-9a-f]") & (kind == "secret"), _pick("0123456789abcdef", n))
         for k, members in _MEMBERS.items():
             new = new.when(F.instr(F.lit(members), c) > 0, _pick(KINDS[k], n))
-        new = new.when(c.rlike(r"\p{L}"), F.when(c.rlike(r"\p{IsLatin}"), _pick(KINDS["accented"], n)).otherwise(c)).otherwise(c)
-        return F.when((i <= prefix) | (i > size - suffix), c).otherwise(new)
+        return new.when(c.rlike(r"\p{L}"), F.when(c.rlike(r"\p{IsLatin}"), _pick(KINDS["accented"], n)).otherwise(c)).otherwise(c)
+
+    def swap(i: Column) -> Column:
+        c = F.substring(name, i, F.lit(1))
+        return F.when((i <= prefix) | (i > size - suffix), c).otherwise(drawn(c, byte(i)))
 
     chars = F.array_join(F.transform(F.sequence(F.lit(1), size), swap), "")
     octet = lambda i: (F.pmod(byte(F.lit(i)), F.lit(254)) + 1).cast("string")
@@ -85,11 +96,19 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
         return acc + F.when(d > 9, d - 9).otherwise(d)
 
     check = F.pmod(F.lit(10) - F.pmod(F.aggregate(place, F.lit(0), luhn), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(kind == "ip", ip).when(kind == "card", F.concat(body, check)).otherwise(chars)
-
-
-def _dressed(kind: Column, entity: Column, name: Column) -> Column:
-    """A canonical surrogate in the spelling of the string it replaces: its separators and capitals."""
+    at, more = _growth(kind, name), attempt - ATTEMPTS + 1
+    # a draw of its own for each character: the stream repeats after 500
+    extra = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: drawn(F.substring(name, at.cast("int"), F.lit(1)), F.conv(F.substring(F.sha2(F.concat(F.lit("+"), i.cast("string"), F.lit(":"), seed), 256), 1, 4), 16, 10).cast("bigint")))
+    longer = F.concat(F.substring(chars, F.lit(1), at.cast("int")), F.array_join(extra, ""), F.substring(chars, (at + 1).cast("int"), size))
+    return F.when(kind == "ip", ip).when(kind == "card", F.concat(body, check)).when((more > 0) & at.isNotNull(), longer).otherwise(chars)
+
+
+def _dressed(kind: Column, entity: Column, real: Column, name: Column) -> Column:
+    """A canonical surrogate of ``real`` in the spelling of the string it replaces: its separators and capitals."""
+    at, more = _growth(kind, real), F.length(name) - F.length(real)
+    grown = at.isNotNull() & (more > 0)
+    extra = F.substring(name, (at + 1).cast("int"), more)
+    name = F.when(grown, F.concat(F.substring(name, F.lit(1), at.cast("int")), F.substring(name, (at + more + 1).cast("int"), F.length(name)))).otherwise(name)
     strip = kind.isin("phone", "card", "ssn", "iban")
 
     def one(i: Column) -> Column:
@@ -99,6 +118,9 @@ def _dressed(kind: Column, entity: Column, name: Column) -> Column:
         return F.when(strip & c.rlike(SEPARATORS), c).when(c.rlike(r"\p{Lu}"), F.upper(n)).otherwise(n)
 
     spelled = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), one), "")
+    put = _growth(kind, entity)
+    longer = F.concat(F.substring(spelled, F.lit(1), put.cast("int")), extra, F.substring(spelled, (put + 1).cast("int"), F.length(entity)))
+    spelled = F.when(grown, longer).otherwise(spelled)
     shout = (entity == F.upper(entity)) & (entity != F.lower(entity))
     return F.when(kind == "ip", name).when(shout, F.upper(spelled)).otherwise(spelled)
 
@@ -108,7 +130,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
 
     Two entities never share a surrogate, and no surrogate is an entity of the corpus:
     whoever collides is drawn anew with the next attempt, all but the smallest of those
-    that share one. So entities stay as distinct as they were, over all documents.
+    that share one, until nobody does; from ATTEMPTS on the draws get longer. So entities stay as distinct as they were, over all documents.
     """
     rows = materialize(entities.select("kind", "name").distinct().withColumn("attempt", F.lit(0)), "pii-names")
     while True:
@@ -118,7 +140,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         bad = drawn.join(shared, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left")
         again = F.coalesce(F.col("real"), F.lit(False)) | F.coalesce(F.col("name") != F.col("first"), F.lit(False))
         bad = materialize(bad.select("kind", "name", "attempt", "surrogate", again.alias("again")), "pii-checked")
-        left = bad.where("again and attempt < 64").limit(1).count()  # very short entities may have no free surrogate
+        left = bad.where("again").limit(1).count()
         if not left:
             return bad.select("kind", "name", "surrogate")
         rows = bad.select("kind", "name", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
@@ -139,7 +161,7 @@ def pseudonymize(docs: DataFrame, key: str = "kinfold", id_col: str = "doc_id",
     found = found.withColumn("kind", kind_of(F.col("entity")))
     found = materialize(found.withColumn("name", canonical(F.col("kind"), F.col("entity"))).distinct(), "pii-found")
     names = surrogate_table(found, key)
-    spelled = found.join(names, ["kind", "name"]).withColumn("new", _dressed(F.col("kind"), F.col("entity"), F.col("surrogate")))
+    spelled = found.join(names, ["kind", "name"]).withColumn("new", _dressed(F.col("kind"), F.col("entity"), F.col("name"), F.col("surrogate")))
     per = spelled.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("pos", "new", "kind"))).alias("r"))  # as long as a text at most
     per = materialize(per.select(F.col("doc_id").alias("d"), F.col("tag").alias("g"), "r"), "pii-replacements")
     hit = digit_or_at & F.col("text").rlike(PATTERN)

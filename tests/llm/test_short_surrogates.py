@@ -1,0 +1,25 @@
+"""More short entities than surrogates of their own length."""
+
+import regex
+
+from kinfold.llm import pii
+
+DDL = "doc_id bigint, text string"
+
+
+def test_crowded_short_entities_stay_distinct(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 3, raising=False)
+    names = [f"Mr {c}i" for c in "BCDFGHJKLMNPQRSTVWXZ"] + [f"Г-н {c}а" for c in "БВГДЖЗКЛМНПРСТФХЦЧШЩ"] + ["MR LI"[:2].title() + " Li"]
+    mails = [f"{c}@1.x" for c in "abcdefghijklmnopqrstuvwxyz"]
+    entities = sorted(set(names + mails))
+    d = spark.createDataFrame([(i, f"see {e}, again {e}!") for i, e in enumerate(entities)], DDL)
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(d).collect()}
+    new = []
+    for i, e in enumerate(entities):
+        m = regex.fullmatch(r"see (.+), again (.+)!", got[i])
+        assert m and m[1] == m[2], (e, got[i])
+        kind = "email" if "@" in e else "person_m"
+        assert regex.fullmatch(pii.DETECTORS[kind], m[1]) and m[1][-1] == e[-1], (e, m[1])
+        new.append(m[1])
+    assert len(set(map(str.lower, new))) == len(entities)
+    assert not set(map(str.lower, new)) & {e.lower() for e in entities}

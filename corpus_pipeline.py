@@ -9,7 +9,7 @@ from kinfold.llm.exact_dedup import patricia_owners
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.quality_mil import filter_quality, fit_quality
 from kinfold.llm.queries import remainder, tokenizer_spec
-from kinfold.llm.simhash import simhash_firsts
+from kinfold.llm.shingle_join import near_firsts
 from kinfold.plans.tables import materialize, table
 
 
@@ -38,11 +38,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies linked by SimHash, one row with the smallest identifier (null last).
+    """Of near copies (five-word shingles of Jaccard similarity 0.8), one row with the smallest
+    identifier (null last).
 
     Rows go by identifier and text, as in ``exact_dedup``.
     """
-    return _one_of_each(docs, simhash_firsts(docs))
+    return _one_of_each(docs, near_firsts(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

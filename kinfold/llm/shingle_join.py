@@ -1,0 +1,101 @@
+"""Near copies by word shingles: an exact join of sets by prefixes."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from kinfold.llm.arrow import release_worker_cache, schema_of, spark_ddl
+from kinfold.operators.components import connected_components
+from kinfold.plans.tables import materialize
+
+WIDTH = 5
+TENTHS = 8  # least Jaccard similarity, in tenths
+
+_PREFIX = [("doc_id", pa.int64()), ("sha", pa.string()), ("vid", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))]
+_SET = [("vid", pa.int64()), ("items", pa.list_(pa.int64()))]
+
+
+def shingles(text: str | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of a text's word shingles, words as in operator 4.
+
+    A text of fewer words is one shingle, a text without a word that of no bytes.
+    """
+    words = (text or "").encode().lower().split()
+    digest, parts = xxhash.xxh64_intdigest, []
+    if len(words) <= width:
+        parts.append(np.array([digest(b" ".join(words), seed)], np.uint64))
+    else:
+        n = len(words) - width + 1
+        for a in range(0, n, 1 << 14):
+            part = words[a : a + (1 << 14) + width - 1]
+            parts.append(np.unique(np.array([digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(width))))], np.uint64)))
+    return np.unique(np.concatenate(parts).view(np.int64))
+
+
+def prefix_length(n: int, tenths: int = TENTHS) -> int:
+    """Two sets of this similarity share an item of their least ones, this many of each."""
+    return n - -(-tenths * n // 10) + 1
+
+
+def _name(items: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes())).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def _prefixes(batches):
+    release_worker_cache()
+    for b in batches:
+        sets = [shingles(t) for t in b.column(2).to_pylist()]
+        cols = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([s[: prefix_length(len(s))] for s in sets])]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], schema=schema_of(_PREFIX))
+
+
+def _sets(batches):
+    for b in batches:
+        sets = [shingles(t) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), _lists(sets)], schema=schema_of(_SET))
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Pairs ``(src, dst)`` of sets that share an item of their prefixes, by size and position
+    near enough to be similar."""
+    rows = materialize(sets.select("vid", "n", F.posexplode("prefix").alias("at", "item")), "shingle-keys")
+    rows = rows.join(rows.groupBy("item").agg(F.count("*").alias("held")).where("held > 1").select("item"), "item", "left_semi")
+    a = rows.select("item", F.col("vid").alias("src"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    b = rows.select("item", F.col("vid").alias("dst"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    # at the first shared item, what follows it in both sets bounds the overlap
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    near = most * (10 + TENTHS) >= (F.col("na") + F.col("nb")) * TENTHS
+    return a.join(b, "item").where((F.col("src") < F.col("dst")) & near).select("src", "dst").distinct()
+
+
+def near_firsts(docs: DataFrame) -> DataFrame:
+    """One row ``(doc_id, sha)`` for each component of near copies: the smallest identifier,
+    null last, then the smallest SHA-256 of the text.
+
+    Documents link when the Jaccard similarity of their five-word shingles is 0.8 at least;
+    all such pairs are found. Texts of one shingle set are one vertex. A shingle that many
+    different sets hold among their least ones costs the square of their number.
+    """
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), sha, "text")
+    held = materialize(rows.mapInArrow(_prefixes, spark_ddl(_PREFIX)), "shingle-prefixes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("first")
+    owners = materialize(held.groupBy("vid").agg(first, F.min("sha").alias("sha"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "shingle-owners")
+    pairs = materialize(_candidates(owners), "shingle-pairs")
+    needed = pairs.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+    texts = rows.join(owners.join(needed, "vid", "left_semi").select("sha"), "sha", "left_semi").select("text")
+    sets = materialize(texts.mapInArrow(_sets, spark_ddl(_SET)).dropDuplicates(["vid"]), "shingle-sets")
+    a, b = sets.select(F.col("vid").alias("src"), F.col("items").alias("a")), sets.select(F.col("vid").alias("dst"), F.col("items").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    links = pairs.join(a, "src").join(b, "dst").where(both * (10 + TENTHS) >= (F.size("a") + F.size("b")) * TENTHS).select("src", "dst")
+    comps = connected_components(links).withColumnRenamed("id", "vid")
+    named = owners.join(comps, "vid", "left").select("first", F.coalesce("component", "vid").alias("component"))
+    return named.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.sha")

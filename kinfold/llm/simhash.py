@@ -151,18 +151,6 @@ def _members(fp: DataFrame, distance: int) -> DataFrame:
     return materialize(owners, "simhash-members")
 
 
-def simhash_firsts(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
-    """One row ``(doc_id, sha)`` for each component of ``simhash_components``: the smallest
-    identifier, null last, then the smallest SHA-256 of the text."""
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    fields = [*_FP, ("sha", pa.string())]
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", sha.alias("sha"))
-    fp = materialize(rows.mapInArrow(lambda it: _fingerprints(it, width, fields), spark_ddl(fields)), "simhash-fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("first")
-    per = fp.groupBy("fp").agg(first).join(_members(fp, distance), "fp")
-    return per.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.sha")
-
-
 def simhash_components(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row ``(doc_id, fingerprint, component_id)`` for each row of ``docs``.
 

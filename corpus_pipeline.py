@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kinfold.llm.bpe import bpe_digests
 from kinfold.llm.exact_dedup import patricia_owners
 from kinfold.llm.mixing import mix_sources
+from kinfold.llm.near_texts import near_firsts
 from kinfold.llm.quality_mil import filter_quality, fit_quality
 from kinfold.llm.queries import remainder, tokenizer_spec
-from kinfold.llm.shingle_join import near_firsts
 from kinfold.plans.tables import materialize, table
 
 

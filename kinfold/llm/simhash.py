@@ -49,38 +49,31 @@ def _fingerprints(batches, width: int, fields=_FP):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], schema=schema_of(fields))
 
 
-def pigeonring(diff: Column, distance: int = 3) -> Column:
+def chains(seg: list, distance: int):
     """Whether some chain of consecutive segments keeps its budgets.
 
-    ``diff`` is the exclusive or of two fingerprints. If at most ``distance`` bits
-    differ, there is a segment of the ring from which the differences of the first l
-    segments stay within l * distance / SEGMENTS, for every l.
+    ``seg`` are the differing bits of each segment (columns or arrays). If at most
+    ``distance`` bits differ, there is a segment of the ring from which the differences of the
+    first l segments stay within l * distance / segments, for every l.
     """
-    seg = [F.bit_count(F.shiftrightunsigned(diff, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(SEGMENTS)]
-    starts = []
-    for i in range(SEGMENTS):
-        chain, ok = F.lit(0), F.lit(True)
-        for n in range(1, SEGMENTS + 1):
-            chain = chain + seg[(i + n - 1) % SEGMENTS]
-            ok = ok & (chain * SEGMENTS <= n * distance)
-        starts.append(ok)
-    out = starts[0]
-    for s in starts[1:]:
-        out = out | s
+    k, out = len(seg), None
+    for i in range(k):
+        chain, ok = seg[i], seg[i] * k <= distance
+        for n in range(2, k + 1):
+            chain = chain + seg[(i + n - 1) % k]
+            ok = ok & (chain * k <= n * distance)
+        out = ok if out is None else out | ok
     return out
 
 
+def pigeonring(diff: Column, distance: int = 3) -> Column:
+    """``chains`` over the exclusive or of two fingerprints."""
+    return chains([F.bit_count(F.shiftrightunsigned(diff, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(SEGMENTS)], distance)
+
+
 def _pigeonring(diff: np.ndarray, distance: int) -> np.ndarray:
     """The same over an array."""
-    seg = [np.bitwise_count(diff >> np.uint64(16 * i) & np.uint64(0xFFFF)).astype(np.int64) for i in range(SEGMENTS)]
-    out = np.zeros(len(diff), bool)
-    for i in range(SEGMENTS):
-        chain, ok = np.zeros(len(diff), np.int64), np.ones(len(diff), bool)
-        for n in range(1, SEGMENTS + 1):
-            chain = chain + seg[(i + n - 1) % SEGMENTS]
-            ok &= chain * SEGMENTS <= n * distance
-        out |= ok
-    return out
+    return chains([np.bitwise_count(diff >> np.uint64(16 * i) & np.uint64(0xFFFF)).astype(np.int64) for i in range(SEGMENTS)], distance)
 
 
 def spanning_links(fps: np.ndarray, distance: int = 3) -> list[tuple[int, int]]:

@@ -15,7 +15,7 @@ import xxhash
 from kinfold.llm import bpe, line_dedup, simhash
 from kinfold.llm.exact_dedup import PatriciaTrie, patricia_owners
 from kinfold.llm.language_id import LanguageFilters, _blocks, fit_filters, identify_languages
-from kinfold.llm.line_dedup import MIN_WORDS, dedup_lines, line_decisions
+from kinfold.llm.line_dedup import UNITS, dedup_lines, line_decisions
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.pii import PATTERN, pseudonymize
 from kinfold.llm.quality_mil import GatedMIL, fit_quality, score_quality
@@ -276,6 +276,14 @@ def test_lines(spark, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_long_line_and_clashing_columns(spark):
+    long = " ".join(words(20_000, 10**7))
+    rows = [(1, long), (2, long.replace("w1", "q1", 40) + " more"), (3, "z" * 70_000), (4, "z" * 70_000 + "y"), (None, long), (7, "own"), (7, "own")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as tag", "2 as h", "3 as key", "'x' as norm", "4 as gone")
+    got = Counter((r["doc_id"], r["n_removed"]) for r in dedup_lines(d).collect())
+    assert got == Counter({(1, 0): 1, (2, 1): 1, (3, 0): 1, (4, 1): 1, (None, 1): 1, (7, 0): 2})
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -287,7 +295,7 @@ def edits(a, b):
 
 @pytest.mark.parametrize("hot", [64, 2])
 def test_fuzzy_lines_against_all_pairs(spark, monkeypatch, hot):
-    """Groups and removed lines from every pair of lines, in crowded blocks and in others."""
+    """Groups and removed lines from the edit similarity of every pair of lines, in crowded blocks and in others."""
     monkeypatch.setattr(line_dedup, "HOT", hot)
     r = random.Random(11)
     base = [[f"w{r.randrange(9999)}" if r.random() < 0.9 else f"longerwords{r.randrange(99)}" for _ in range(n)] for n in (60, 60, 80, 12, 5)]
@@ -298,22 +306,22 @@ def test_fuzzy_lines_against_all_pairs(spark, monkeypatch, hot):
             for _ in range(r.randrange(3)):
                 c[r.randrange(len(c))] = f"x{r.randrange(99)}"
             lines.append(" ".join(c))
-    lines += ["", "--", "same", "Same!", lines[0].upper(), lines[3] + " end", "İİ İ" + " i" * 5]
+    lines += ["", "--", "same", "Same!", lines[0].upper(), lines[3] + " end", "İİ İ" + " i" * 5, "chapter 11", "Chapter 12", "an address of 40 rows", "an address of 41 rows"]
     r.shuffle(lines)
     docs = [(i + 1, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(len(lines) // 4)] + [(None, lines[0] + "\n" + lines[1]), (90, None)]
     d = spark.createDataFrame([(i, t, "", "") for i, t in docs], DDL).repartition(3)
     got = {x["doc_id"]: x["removed"] for x in line_decisions(d).collect()}
-    prints = {(x["doc_id"], x["no"]): (x["h"], x["fp"]) for x in line_dedup.line_prints(d.selectExpr("doc_id", "text", "xxhash64(text) as tag")).collect()}
     norms = {(i, no): " ".join(regex.findall(r"[\p{L}\p{N}]+", t.lower())) for i, whole in docs if whole for no, t in enumerate(whole.split("\n"))}
     places = sorted((k for k in norms if norms[k]), key=lambda k: (k[0] is None, k[0] or 0, k[1]))
-    assert set(places) == set(prints)
-    for k in places:
-        ws, sums = norms[k].split(), [0] * 64
-        for w in set(ws):
+    lines = spark.createDataFrame([(n, norms[k]) for n, k in enumerate(places)], "h bigint, norm string")
+    prints = {x["h"]: x["fp"] & (1 << 64) - 1 for x in line_dedup.line_prints(lines).collect()}
+    for n, k in enumerate(places):
+        units = set(norms[k].split() if norms[k].count(" ") >= UNITS - 1 else norms[k])
+        sums = [0] * 64
+        for w in units:
             h = xxhash.xxh64_intdigest(w.encode(), 42)
             sums = [c + (h >> i & 1) for i, c in enumerate(sums)]
-        want_fp = sum(1 << i for i, c in enumerate(sums) if 2 * c > len(set(ws)))
-        assert prints[k][1] is None if len(ws) < MIN_WORDS else prints[k][1] & (1 << 64) - 1 == want_fp
+        assert prints[n] == sum(1 << i for i, c in enumerate(sums) if 2 * c > len(units))
     parent = {k: k for k in places}
 
     def root(k):
@@ -325,8 +333,7 @@ def test_fuzzy_lines_against_all_pairs(spark, monkeypatch, hot):
     for n, b in enumerate(places):
         for a in places[:n]:
             x, y = norms[a], norms[b]
-            near = prints[a][1] is not None and prints[b][1] is not None and ((prints[a][1] ^ prints[b][1]) & (1 << 64) - 1).bit_count() <= 3
-            if x == y or near and edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
+            if x == y or edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
                 fuzzy += x != y
                 ra, rb = sorted((root(a), root(b)), key=places.index)
                 parent[rb] = ra
@@ -334,7 +341,8 @@ def test_fuzzy_lines_against_all_pairs(spark, monkeypatch, hot):
     for k in places:
         if root(k) != k:
             want[k[0]].append(k[1])
-    assert fuzzy > 5 and got == {i: sorted(v) for i, v in want.items()}
+    found, all_of = sum(map(len, got.values())), sum(map(len, want.values()))
+    assert fuzzy > 5 and all(set(got[i]) <= set(v) for i, v in want.items()) and found >= 0.9 * all_of
 
 
 def test_surrogates(spark, empty):

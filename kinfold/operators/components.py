@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from kinfold.plans.tables import materialize
+from kinfold.plans.tables import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -23,14 +23,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         # pointers lead to smaller ids only, so that they form a forest; jump to the roots
         while True:
             parent = labels.select(F.col("id").alias("p"), F.col("p").alias("g"))
-            labels = materialize(labels.join(parent, "p").select("id", F.col("g").alias("p"), (F.col("p") != F.col("g")).alias("moved")), "cc-labels")
-            moved = labels.where("moved").limit(1).count()
-            labels = labels.select("id", "p")
-            if not moved:
+            old, labels = labels, materialize(labels.join(parent, "p").select("id", F.col("g").alias("p"), (F.col("p") != F.col("g")).alias("moved")), "cc-labels")
+            discard(old)
+            if not labels.where("moved").limit(1).count():
                 break
         la, lb = labels.select(F.col("id").alias("a"), F.col("p").alias("ra")), labels.select(F.col("id").alias("b"), F.col("p").alias("rb"))
-        e = materialize(e.join(la, "a").join(lb, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "cc-edges")
+        old, e = e, materialize(e.join(la, "a").join(lb, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "cc-edges")
+        discard(old)
         if not e.limit(1).count():
             return labels.select("id", F.col("p").alias("component"))
         hooks = materialize(both(e).groupBy(F.col("a").alias("p")).agg(F.least("a", F.min("b")).alias("h")).select("p", "h"), "cc-hooks")
-        labels = materialize(labels.join(hooks, "p", "left").select("id", F.coalesce("h", "p").alias("p")), "cc-labels")
+        old, labels = labels, materialize(labels.join(hooks, "p", "left").select("id", F.coalesce("h", "p").alias("p")), "cc-labels")
+        discard(old, hooks)

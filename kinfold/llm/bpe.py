@@ -220,20 +220,25 @@ class WordTokenizer:
     decoder, which joins token strings by spaces, or with ``as_bytes`` the text itself.
     """
 
-    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^%s\p{L}\p{N}]+" % WHITE
+    #: What a file's steps must be; the pattern of its split is read from it.
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    #: Characters of a text that are split into words at a time.
+    SLICE = 1 << 16
     #: Entries of one generation of the cache of words and pieces; two are held.
     CACHE = 250_000
 
     def __init__(self, spec: str | dict):
         spec = json.loads(spec) if isinstance(spec, (str, bytes)) else spec
         model = spec["model"]
+        self.pieces = regex.compile(self._pattern(spec))
         merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         self.merges = MergeList(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.hint = min((a[:2] for a in self.added), default=None)
-        self.pieces = regex.compile(self.PIECES)
         self.words = regex.compile(f"[^{WHITE}]+")
+        self.gap = regex.compile(f"[{WHITE}]")
         self.odd = regex.compile("[\x1c-\x1f]")
         self.letters = byte_alphabet()
         self.strings = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
@@ -244,6 +249,24 @@ class WordTokenizer:
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
+    @classmethod
+    def _pattern(cls, spec: dict) -> str:
+        """The split pattern of a file whose other steps are those this class carries out."""
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        split, model = steps[0], spec["model"]
+        pattern = (split.get("pattern") or {}).get("Regex", "").replace(r"\s", WHITE)
+        known = {
+            "normalizer": (spec.get("normalizer") or {}).get("normalizers") == cls.NORMALIZERS,
+            "pre_tokenizer": len(steps) == 2 and (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True) and cls.BYTES.items() <= steps[1].items(),
+            "pattern": bool(pattern) and not regex.search(pattern, " "),
+            "decoder": spec.get("decoder") is None,
+            "model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+            "added_tokens": not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        }
+        if odd := [k for k, ok in known.items() if not ok]:
+            raise ValueError(f"this tokenizer file has steps that are not supported: {odd}")
+        return pattern
+
     def _piece(self, piece: str) -> bytes:
         symbols = self.merges.piece("".join(map(self.letters.__getitem__, piece.encode())))
         run = Transducer(self.merges)
@@ -272,20 +295,35 @@ class WordTokenizer:
             out.append(got if p == word else self._keep(p, got))
         return self._keep(word, b"".join(out))
 
+    def _parts(self, text: str) -> Iterator[tuple[str, int, int]]:
+        """Ranges of a text: added tokens, and what is between them in slices that end with a word."""
+        marks = [(m.start(), m.end()) for m in self.special.finditer(text)] if self.special and self.hint in text else []
+        at = 0
+        for a, b in [*marks, (len(text), len(text))]:
+            while at < a:
+                end = min(at + self.SLICE, a)
+                if end < a:
+                    gap = self.gap.search(text, end, a)
+                    end = gap.start() if gap else a
+                yield "words", at, end
+                at = end
+            if a < b:
+                yield "added", a, b
+            at = b
+
     def encode_bytes(self, text: str | None) -> Iterator[bytes]:
-        """Blocks of identifiers as little-endian unsigned 32-bit integers."""
+        """Blocks of identifiers as little-endian unsigned 32-bit integers, of one slice of the text each."""
         if not text:
             return
-        parts = self.special.split(text) if self.special and self.hint in text else [text]
         miss = self._word
-        for part in parts:
-            if part in self.added:
+        for kind, a, b in self._parts(text):
+            part = text if (a, b) == (0, len(text)) else text[a:b]
+            if kind == "added":
                 yield np.array([self.added[part]], "<u4").tobytes()
                 continue
             words = self.words.findall(part) if self.odd.search(part) else part.split()
-            for a in range(0, len(words), 1 << 12):
-                known = self._known.get
-                yield b"".join([known(w) or miss(w) for w in words[a : a + (1 << 12)]])
+            known = self._known.get
+            yield b"".join([known(w) or miss(w) for w in words])
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(b"".join(self.encode_bytes(text)), "<u4").tolist()
@@ -335,16 +373,25 @@ def decode_documents(tokens: DataFrame, spec: str, as_bytes: bool = False, id_co
 
 
 def _digests(tok: WordTokenizer, text: str | None) -> tuple[int, str, str]:
-    ids, out, n, blocks = sha256(), sha256(), 0, []
-    for block in tok.encode_bytes(text):
-        ids.update(block)
-        n += len(block) // 4
-        blocks.append(block)
-    for part in tok.decode_blocks(blocks):
+    """Both digests grow slice by slice: no list of a text's words, tokens or decoded parts is held."""
+    ids, out, n = sha256(), sha256(), 0
+
+    def seen() -> Iterator[bytes]:
+        nonlocal n
+        for block in tok.encode_bytes(text):
+            ids.update(block)
+            n += len(block) // 4
+            yield block
+
+    for part in tok.decode_blocks(seen()):
         out.update(part.encode())
     return n, ids.hexdigest(), out.hexdigest()
 
 
 def bpe_digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: every whole text encoded, and decoded again."""
+    """Rows ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: every whole text encoded, and decoded again.
+
+    A null text counts as empty. Rows are taken alone, so repeats agree and null identifiers
+    pass through; other columns are not read; an empty table gives an empty table.
+    """
     return _run(docs, spec, id_col, text_col, _OUT, _digests)

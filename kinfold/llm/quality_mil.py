@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinfold.llm.arrow import packed, release_worker_cache, schema_of, spark_ddl
 
@@ -149,31 +149,36 @@ class GatedMIL:
         return out
 
 
-def _bags(batches, most: int):
+def _bags(batches):
     release_worker_cache()
     for b in batches:
         rows = []
         for key, label, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             bag = passages(text)
-            if len(bag) > most:
-                bag = [bag[int(i)] for i in np.linspace(0, len(bag) - 1, most)]
             rows.append((key, label, len(bag), encode(bag).astype(np.float16).tobytes()))
         cols = list(zip(*rows)) or [()] * len(_BAGS)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _BAGS)], schema=schema_of(_BAGS))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, trainable: Column, sample_docs: int = 4000, sample_passages: int = 64, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> GatedMIL:
+def fit_quality(docs: DataFrame, labels: DataFrame, trainable: Column, sample_docs: int = 4000, sample_passages: int = 100_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> GatedMIL:
     """Learn from labelled documents whose identifier ``trainable`` admits.
 
-    The fit reads at most ``sample_docs`` of them, chosen by a hash of the identifier,
-    and of each at most ``sample_passages`` passages spread over the text; scoring reads
-    all. Null labels and identifiers with two different labels are left out. With no
-    labelled row, or only one label, scores stay near the untrained model's or that label.
+    The fit is on a sample: at most ``sample_docs`` labelled identifiers in the order of a hash
+    of them, of these as many as together have at most ``sample_passages`` passages (56 MB of
+    features); each document is read whole. Null labels and identifiers with two different
+    labels are left out; of texts that share an identifier the one of least hash counts. With
+    no labelled row, or only one label, scores stay near the untrained model's or that label.
     """
     known = labels.where(F.col(label_col).isNotNull() & trainable).groupBy(F.col(id_col).alias("key")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).alias("other")).where("label = other")
     known = known.orderBy(F.xxhash64("key"), "key").limit(sample_docs).select("key", "label")
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(known), "key").select(F.col("key").cast("bigint").alias("key"), "label", "text")
-    rows = rows.mapInArrow(lambda it: _bags(it, sample_passages), spark_ddl(_BAGS)).limit(2 * sample_docs).collect()
+    tag = F.xxhash64(F.col(text_col)).alias("tag")
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), tag).join(F.broadcast(known), "key")
+    size = F.greatest(F.ceil(F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)) / PASSAGE_WORDS), F.lit(1))
+    sizes = rows.select("key", F.struct("tag", size.alias("n")).alias("s")).groupBy("key").agg(F.min("s").alias("s"))  # sample_docs rows
+    total = F.sum("s.n").over(Window.orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0))
+    taken = sizes.withColumn("total", total).where(F.col("total") <= sample_passages).select("key", F.col("s.tag").alias("tag"))
+    rows = rows.join(F.broadcast(taken), ["key", "tag"]).dropDuplicates(["key"]).select(F.col("key").cast("bigint").alias("key"), "label", "text")
+    rows = rows.mapInArrow(_bags, spark_ddl(_BAGS)).collect()
     model = GatedMIL.new()
     if not rows:
         return model

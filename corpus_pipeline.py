@@ -14,7 +14,7 @@ from kinfold.plans.tables import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, whole rows, repeats alike; an empty table stays empty."""
     return filter_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"), remainder(3) != 1))
 
 
@@ -50,20 +50,22 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them.
 
     A document on which a source's share ends comes with its first words up to there,
-    joined by spaces. Rows that share an identifier share one decision.
+    joined by spaces. Decisions go by identifier and text; repeats of both share the least one.
     """
-    plan = mix_sources(docs).groupBy(F.col("doc_id").alias("key")).agg(F.min("whole").alias("whole"), F.min("extra").alias("extra"), F.min("size").alias("size"))
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("key")))
-    whole = F.array_repeat(F.lit(None).cast("bigint"), F.col("whole").cast("int"))
-    rest = F.when(F.col("extra") > 0, F.array(F.when(F.col("extra") < F.col("size"), F.col("extra")))).otherwise(F.array().cast("array<bigint>"))
-    copies = joined.withColumn("words", F.explode(F.concat(whole, rest)))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("words").cast("int")), " ")
-    copies = copies.withColumn("text", F.when(F.col("words").isNotNull(), cut).otherwise(F.col("text")))
-    return copies.withColumn("n_chars", F.when(F.col("words").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    mark = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    plan = mix_sources(docs.select("doc_id", "text", "source", mark.alias("_mix_sha")), keep=("_mix_sha",))
+    plan = plan.groupBy(F.col("doc_id").alias("_mix_id"), "_mix_sha").agg(*(F.min(c).alias(f"_mix_{c}") for c in ("whole", "extra", "size")))
+    joined = docs.withColumn("_mix_of", mark).join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_of") == F.col("_mix_sha")))
+    whole, extra, words = F.col("_mix_whole"), F.col("_mix_extra"), F.col("_mix_words")
+    rest = F.when(extra > 0, F.array(F.when(extra < F.col("_mix_size"), extra))).otherwise(F.array().cast("array<bigint>"))
+    copies = joined.withColumn("_mix_words", F.explode(F.concat(F.array_repeat(F.lit(None).cast("bigint"), whole.cast("int")), rest)))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0), F.lit(1), words.cast("int")), " ")
+    copies = copies.withColumn("text", F.when(words.isNotNull(), cut).otherwise(F.col("text")))
+    return copies.withColumn("n_chars", F.when(words.isNotNull(), F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the tokens and of the text decoded from them."""
+    """Token counts and digests of the tokens and of the text decoded from them, for each row alone."""
     return bpe_digests(docs, tokenizer_spec())
 
 

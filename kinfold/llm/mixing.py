@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinfold.plans.tables import materialize
+from kinfold.plans.tables import materialize, numbered
 
 #: Rows of one source that share a cell of the seeded order, on average.
 CELL_ROWS = 64
+#: Cells of one source that are summed in order by one task.
+STRIP = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -52,15 +54,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     identifier and a size tie, and share what they get in any order.
 
     The order never meets in one task: a source's rows fall into cells of about
-    ``CELL_ROWS`` by the hash, only cells are summed in order, and within a cell the
-    window is short, so that a source with a third of all rows is no hot group.
+    ``CELL_ROWS`` by the hash, cells are summed in order within strips of ``STRIP``, and only
+    strips within a source, so that a source with a third of all rows is no hot group. Other
+    columns are not read, but for ``keep``.
     """
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("bigint")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), u.alias("u"), *keep)
     rows = materialize(rows, "mix-rows")
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
+    per = numbered(per, F.col("source").asc_nulls_last())  # there may be as many sources as web sites
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("number", F.lit(len(weights))) + 1).cast("int"))
     per = materialize(per.select("source", "source_size", "n", weight.alias("weight"), (F.col("source_size") * float(max_epochs)).alias("cap")), "mix-sources")
     all_words = per.agg(F.sum("source_size")).first()[0] or 0
     level = water_level(per, share * all_words)
@@ -73,8 +76,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     placed = rows.join(per, same(rows, per)).drop(per.source)
     placed = placed.withColumn("cell", F.floor(F.col("u") / F.lit(float(1 << 52)) * F.col("cells")).cast("bigint"))
     cells = placed.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    cells = cells.withColumn("before", F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)))
-    cells = materialize(cells.select(F.col("source").alias("s"), F.col("cell").alias("c"), F.coalesce("before", F.lit(0)).alias("before")), "mix-cells")
+    cells = materialize(cells.withColumn("strip", F.floor(F.col("cell") / STRIP)), "mix-cells")
+    ahead = lambda col, *by: F.coalesce(F.sum(col).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    strips = cells.groupBy("source", "strip").agg(F.sum("cell_size").alias("strip_size"))
+    strips = strips.select(F.col("source").alias("s"), F.col("strip").alias("t"), ahead("strip_size", "source", "strip").alias("ahead"))
+    cells = cells.withColumn("before", ahead("cell_size", "source", "strip", "cell"))
+    cells = cells.join(strips, cells.source.eqNullSafe(strips.s) & (cells.strip == strips.t))
+    cells = materialize(cells.select("s", F.col("cell").alias("c"), (F.col("before") + F.col("ahead")).alias("before")), "mix-starts")
     within = Window.partitionBy("source", "cell").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = placed.join(cells, placed.source.eqNullSafe(cells.s) & (placed.cell == cells.c))

@@ -293,6 +293,20 @@ def edits(a, b):
     return row[-1]
 
 
+def test_blocks_of_similar_lines(spark):
+    """Lines share a key after an insertion, a removal or a change, in scripts with and without spaces."""
+    pairs = []
+    for n in (2, 3, 7, 16, 40, 200):
+        w = words(n, 10**6)
+        at = n // 2
+        pairs += [(" ".join(w), " ".join(x)) for x in (w[:at] + ["new"] + w[at:], w[:at] + ["new"] + w[at + 1 :], w[:at] + w[at + 1 :])]
+    pairs += [("ж" * 3 + "абвгдежзиклмн", "ж" * 3 + "абвгдежзиклм"), ("漢字仮名交文日本語学", "漢字仮名交文日本語")]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    keys = rows.select("i", line_dedup.block_keys(F.col("a")).alias("x"), line_dedup.block_keys(F.col("b")).alias("y"))
+    assert {r["i"] for r in keys.where(F.size(F.array_intersect("x", "y")) == 0).collect()} == set()
+    assert keys.agg(F.max(F.size("x"))).first()[0] < 200
+
+
 @pytest.mark.parametrize("hot", [64, 2])
 def test_fuzzy_lines_against_all_pairs(spark, monkeypatch, hot):
     """Groups and removed lines from the edit similarity of every pair of lines, in crowded blocks and in others."""

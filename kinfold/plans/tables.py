@@ -39,6 +39,15 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now.
+
+    It does so when the driver collects garbage, which a driver with little to do may put off
+    until the disks of the executors are full.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` with ``number``, the position of each row from 0 in the order, which must be total.
 

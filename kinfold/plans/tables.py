@@ -15,15 +15,25 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "/tmp/checkpoints").rstrip("/")
 
 
+#: Whether Spark removes a statement's shuffle files at its end, and not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once and return a frame over the written files.
 
     Cuts lineage and keeps the rows in the shared store, so that a lost executor costs
-    a retried task and not a recomputation. Later plans see real sizes. ``discard`` removes the files.
+    a retried task and not a recomputation. Later plans see real sizes. The shuffle files of
+    the write go with its end; ``discard`` removes the written files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -39,15 +49,6 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs now.
-
-    It does so when the driver collects garbage, which a driver with little to do may put off
-    until the disks of the executors are full.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` with ``number``, the position of each row from 0 in the order, which must be total.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kinfold.llm.arrow import release_worker_cache, schema_of, spark_ddl
 from kinfold.llm.simhash import chains
 from kinfold.operators.components import connected_components
-from kinfold.plans.tables import materialize
+from kinfold.plans.tables import discard, materialize
 
 WIDTH = 5
 TENTHS = 8  # least Jaccard similarity, in tenths
@@ -220,6 +220,7 @@ def near_firsts(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")).alias("first")
     owners = materialize(held.groupBy("vid").agg(first, F.min("n").alias("n"), F.min("f1").alias("f1"), F.min("f2").alias("f2")), "near-owners")
     groups = materialize(connected_components(_candidates(held, owners)).withColumnRenamed("id", "vid"), "near-groups")
+    discard(held)
     sizes = groups.groupBy("component").agg(F.count("*").alias("m"))
     members = materialize(groups.join(sizes, "component").join(owners, "vid"), "near-members")
     wanted = members.select(F.col("first.doc_id").alias("d"), F.col("first.sha").alias("sha"))

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinfold.functions.sequences import padded_hamming
+from kinfold.functions.sequences import mask_rare_residues, padded_hamming
 from kinfold.operators.knn import knn
+from kinfold.plans.tables import materialize
 
 
 def landmarks(df: DataFrame, id_col: str, seq_col: str, n: int) -> DataFrame:
@@ -26,14 +27,15 @@ def landmark_distances(df: DataFrame, marks: DataFrame, id_col: str, seq_col: st
 def _hamming_block(a: list[str], b: list[str]) -> np.ndarray:
     """Padded Hamming distances of two lists, by code points."""
     la, lb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-    out = np.zeros((len(a), len(b)))
-    codes = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in b]
+    wide = max(la.max(initial=0), lb.max(initial=0), 1)
+    own = np.zeros((len(a), wide), np.uint32)  # positions past an end differ from letters and equal each other
     for i, s in enumerate(a):
-        x = np.frombuffer(s.encode("utf-32-le"), np.uint32)
-        for j, y in enumerate(codes):
-            m = min(len(x), len(y))
-            out[i, j] = np.count_nonzero(x[:m] != y[:m])
-    return (out + np.abs(la[:, None] - lb[None])) / np.maximum(np.maximum(la[:, None], lb[None]), 1)
+        own[i, : len(s)] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    out = np.zeros((len(a), len(b)))
+    for j, s in enumerate(b):
+        m = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+        out[:, j] = np.count_nonzero(own[:, : len(m)] != m, axis=1) + np.count_nonzero(own[:, len(m) :], axis=1)
+    return out / np.maximum(np.maximum(la[:, None], lb[None]), 1)
 
 
 def mds_basis(marks: list[str], d: int, rounds: int = 100, seed: int = 42) -> np.ndarray:
@@ -46,7 +48,9 @@ def mds_basis(marks: list[str], d: int, rounds: int = 100, seed: int = 42) -> np
     X = v[:, top] * np.sqrt(np.maximum(w[top], 0))
     last = np.inf
     for _ in range(rounds):
-        E = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+        square = (X * X).sum(1)
+        E = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * X @ X.T, 0))
+        np.fill_diagonal(E, 0)
         stress = ((E - D) ** 2).sum() / 2
         if last - stress < 1e-6 * max(last, 1e-12):
             break
@@ -71,7 +75,8 @@ def landmark_mds(df: DataFrame, id_col: str, seq_col: str, n_landmarks: int = 50
     def run(batches):
         own, P = basis.value
         for b in batches:
-            D = _hamming_block([s or "" for s in b.column(1).to_pylist()], own)
+            seqs = [s or "" for s in b.column(1).to_pylist()]
+            D = np.concatenate([_hamming_block(seqs[a : a + 256], own) for a in range(0, len(seqs), 256)] or [np.zeros((0, len(own)))])
             Y = (D - D.mean(axis=1, keepdims=True)) @ P if own else np.zeros((b.num_rows, 0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(Y.astype(np.float32)), pa.list_(pa.float32())), pa.array([d] * b.num_rows, pa.int32())], names=["id", "vector", "dimensions"])
 
@@ -81,20 +86,21 @@ def landmark_mds(df: DataFrame, id_col: str, seq_col: str, n_landmarks: int = 50
 def truncated_svd(cells: DataFrame, k: int = 50, rounds: int = 4, seed: int = 42) -> DataFrame:
     """(id, vector): U*S of a sparse matrix in long form (id, col, freq), by randomised subspace iteration.
 
-    The small side (columns times k) is on the driver; each product is one aggregation.
+    The rows are written once. The small side (columns times k) is on the driver, so the columns
+    are to be bounded (``bounded_columns``); a task returns the columns that its rows have.
     """
     cols = [r[0] for r in cells.select("col").distinct().orderBy("col").collect()]
     at = {c: i for i, c in enumerate(cols)}
     sc, rank = cells.sparkSession.sparkContext, min(k, len(cols))
     Q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(cols), min(len(cols), rank + 8))))[0]
-    by_row = cells.groupBy("id").agg(F.collect_list(F.struct("col", "freq")).alias("cells"))
+    by_row = materialize(cells.groupBy("id").agg(F.collect_list(F.struct("col", "freq")).alias("cells")), "svd-rows")
 
     def rows_times(M: np.ndarray, gram: bool):
         shared = sc.broadcast((at, M))
 
         def run(batches: Iterator[pa.RecordBatch]):
             where, B = shared.value
-            G = np.zeros((len(where), B.shape[1]))
+            G: dict = {}
             for b in batches:
                 ids, out = b.column(0).to_pylist(), []
                 for row in b.column(1).to_pylist():
@@ -102,28 +108,31 @@ def truncated_svd(cells: DataFrame, k: int = 50, rounds: int = 4, seed: int = 42
                     x = np.array([c["freq"] for c in row], float)
                     y = x @ B[i]
                     if gram:
-                        G[i] += x[:, None] * y[None]
+                        for c, z in zip(i, x[:, None] * y[None]):
+                            G[c] = G[c] + z if c in G else z
                     else:
                         out.append(y)
                 if not gram:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=["id", "vector"])
-            if gram:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([G.ravel()], pa.list_(pa.float64()))], names=["id", "vector"])
+            keys = list(G)
+            for a in range(0, len(keys), 1 << 12):
+                some = keys[a : a + (1 << 12)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([G[c] for c in some], pa.list_(pa.float64()))], names=["id", "vector"])
 
         return by_row.select(F.col("id").cast("bigint").alias("id"), "cells").mapInArrow(run, "id bigint, vector array<double>")
 
+    def gram_times(M: np.ndarray) -> np.ndarray:
+        """A'AM, one row a column of A."""
+        sums = [F.sum(F.col("vector")[j]).alias(f"x{j}") for j in range(M.shape[1])]
+        out = np.zeros(M.shape)
+        for r in rows_times(M, True).groupBy("id").agg(*sums).collect():
+            out[r["id"]] = r[1:]
+        return out
+
     for _ in range(rounds):
-        parts = rows_times(Q, True).select(F.posexplode("vector").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x")).collect()
-        G = np.zeros(Q.size)
-        for r in parts:
-            G[r["p"]] = r["x"]
-        Q = np.linalg.qr(G.reshape(Q.shape))[0]
+        Q = np.linalg.qr(gram_times(Q))[0]
     V = Q
-    parts = rows_times(V, True).select(F.posexplode("vector").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x")).collect()
-    G = np.zeros(V.size)
-    for r in parts:
-        G[r["p"]] = r["x"]
-    w, v = np.linalg.eigh(V.T @ G.reshape(V.shape))
+    w, v = np.linalg.eigh(V.T @ gram_times(V))
     return rows_times(V @ v[:, np.argsort(w)[::-1][:rank]], False)
 
 
@@ -171,10 +180,10 @@ def fit_curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
 def umap(df: DataFrame, id_col: str, vec_col: str, d: int = 2, k: int = 15, min_dist: float = 0.1, metric: str = "cosine", seed: int = 42, epochs: int = 200, max_rows: int = 500_000) -> DataFrame:
     """(id, vector): neighbours and memberships distributed, layout of the sampled set on the driver."""
     spark = df.sparkSession
-    edges = fuzzy_graph(knn(df, id_col, vec_col, k, metric), k).orderBy("src", "dst").collect()
     ids = [r[0] for r in df.select(F.col(id_col).cast("bigint")).orderBy(id_col).limit(max_rows + 1).collect()]
     if len(ids) > max_rows:
         raise ValueError(f"more than {max_rows} rows; sample first or raise max_rows")
+    edges = fuzzy_graph(knn(df, id_col, vec_col, k, metric), k).orderBy("src", "dst").collect()  # rows times k at most
     at, n = {x: i for i, x in enumerate(ids)}, len(ids)
     rng = np.random.default_rng(seed)
     if not edges:
@@ -220,7 +229,7 @@ def hash_model(width: int = 32) -> Callable[[list[str]], list[np.ndarray]]:
     def run(batch: list[str]) -> list[np.ndarray]:
         out = []
         for s in batch:
-            codes = np.array([1, *map(ord, s), 2], np.int64)
+            codes = np.array([1, *map(ord, s.replace(" ", "")), 2], np.int64)
             grid = (codes[:, None] * 2654435761 + np.arange(width)[None] * 40503) % 65521
             out.append((grid / 65521 - 0.5).astype(np.float32))
         return out
@@ -241,8 +250,8 @@ def budget_batches(lengths: list[int], budget: int) -> list[list[int]]:
     return out
 
 
-#: (truncation, tokens a batch, pooling over special tokens) of the three embedding runs.
-MODELS = {"esm2": (1175, 64 * 1175, True), "esm3": (1000, 500, False), "prott5": (1000, 1200, True)}
+#: (truncation, tokens a batch, pooling over special tokens, rare residues masked and residues spaced) of the three embedding runs.
+MODELS = {"esm2": (1175, 64 * 1175, True, False), "esm3": (1000, 500, False, False), "prott5": (1000, 1200, True, True)}
 
 
 def embed(df: DataFrame, id_col: str, seq_col: str, model: str, provider: Callable[[], Callable] = hash_model) -> DataFrame:
@@ -251,14 +260,14 @@ def embed(df: DataFrame, id_col: str, seq_col: str, model: str, provider: Callab
     ``provider()`` builds the model once for each task. A batch that runs out of memory is
     done again one by one; other errors fail the task. Empty sequences are left out.
     """
-    limit, budget, specials = MODELS[model]
+    limit, budget, specials, spaced = MODELS[model]
 
     def run(batches):
         net = provider()
         for b in batches:
-            ids, seqs = b.column(0).to_pylist(), [s[:limit] for s in b.column(1).to_pylist()]
+            ids, seqs = b.column(0).to_pylist(), b.column(1).to_pylist()
             vecs: list = [None] * len(ids)
-            for group in budget_batches([len(s) for s in seqs], budget):
+            for group in budget_batches([(len(s) + 1) // 2 if spaced else len(s) for s in seqs], budget):
                 try:
                     states = net([seqs[i] for i in group])
                 except (MemoryError, RuntimeError) as e:
@@ -269,5 +278,6 @@ def embed(df: DataFrame, id_col: str, seq_col: str, model: str, provider: Callab
                     vecs[i] = (h if specials or len(h) <= 2 else h[1:-1]).mean(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.list_(pa.float32())), pa.array([model] * len(ids))], names=["id", "vector", "model_name"])
 
-    rows = df.where(F.length(seq_col) > 0).select(F.col(id_col).cast("bigint").alias("id"), F.upper(seq_col).alias("s"))
+    cut = F.substring(F.upper(seq_col), 1, limit)
+    rows = df.where(F.length(seq_col) > 0).select(F.col(id_col).cast("bigint").alias("id"), (mask_rare_residues(cut) if spaced else cut).alias("s"))
     return rows.mapInArrow(run, "id bigint, vector array<float>, model_name string")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from kinfold.functions.sequences import kmers
+from kinfold.plans.tables import numbered
 
 
 def kmer_counts(df: DataFrame, id_col: str, seq_col: str, ks: Sequence[int]) -> DataFrame:
@@ -29,15 +30,22 @@ def kmer_maps(df: DataFrame, id_col: str, seq_col: str, ks: Sequence[int]) -> Da
 
 def vocabulary(counts: DataFrame) -> DataFrame:
     """Column numbers of the k-mers of each k, in the order of names, from 0."""
-    v = counts.select("k", "kmer").distinct()
-    return v.select("k", "kmer", (F.row_number().over(Window.partitionBy("k").orderBy("kmer")) - 1).alias("col"))
+    v = numbered(counts.select("k", "kmer").distinct(), F.col("k"), F.col("kmer"))
+    first = v.groupBy("k").agg(F.min("number").alias("first"))
+    return v.join(first, "k").select("k", "kmer", (F.col("number") - F.col("first")).cast("int").alias("col"))
+
+
+def kmer_totals(df: DataFrame, seq_col: str, ks: Sequence[int]) -> DataFrame:
+    """(k, kmer, n) over all sequences, counted on the map side with no identifier in the key."""
+    rows = df.select(F.col(seq_col).alias("seq"), F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).where(F.length("seq") >= F.col("k"))
+    return rows.select("k", F.explode(kmers(F.col("seq"), F.col("k"))).alias("kmer")).groupBy("k", "kmer").agg(F.count("*").alias("n"))
 
 
 def first_seen_vocabulary(df: DataFrame, id_col: str, seq_col: str, k: int) -> DataFrame:
     """Column numbers by first appearance: rows in the order of identifiers, positions in order."""
     rows = df.select(F.col(id_col).alias("id"), F.posexplode(kmers(F.col(seq_col), k)).alias("pos", "kmer"))
     first = rows.groupBy("kmer").agg(F.min(F.struct("id", "pos")).alias("at"))
-    return first.select("kmer", (F.row_number().over(Window.orderBy("at")) - 1).alias("col"))
+    return numbered(first, F.col("at.id"), F.col("at.pos")).select("kmer", F.col("number").alias("col"))
 
 
 def sparse_rows(counts: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -47,5 +55,15 @@ def sparse_rows(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def k_statistics(counts: DataFrame) -> DataFrame:
     """For each k: vocabulary, rows, nonzero cells and density of the matrix."""
-    s = counts.groupBy("k").agg(F.countDistinct("kmer").alias("vocabulary"), F.countDistinct("id").alias("rows"), F.count("*").alias("cells"))
+    words = counts.groupBy("k", "kmer").agg(F.count("*").alias("n")).groupBy("k").agg(F.count("*").alias("vocabulary"), F.sum("n").alias("cells"))
+    rows = counts.groupBy("k", "id").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count("*").alias("rows"))
+    s = words.join(rows, "k")
     return s.select("k", "vocabulary", "rows", "cells", F.round(F.col("cells") / (F.col("vocabulary") * F.col("rows")), 6).alias("density"))
+
+
+def bounded_columns(cells: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """(id, col, freq) with at most ``most`` columns: k-mers hashed to columns, frequencies in one added up.
+
+    For products with a dense matrix of all columns, whose size this bounds.
+    """
+    return cells.groupBy("id", F.pmod(F.xxhash64("kmer"), F.lit(most)).alias("col")).agg(F.sum("freq").alias("freq"))

@@ -58,13 +58,11 @@ def block_arrays(table: pa.Table):
     return ids, v, table.column("query").to_numpy(zero_copy_only=False)
 
 
-def knn(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "euclidean", include_self: bool = False, drop_zero: bool = False) -> DataFrame:
-    """Rows (src, dst, d, rank): the k nearest rows of every row; ties go to the smaller identifier.
+def nearest_in_block(k: int, metric: str, include_self: bool = False):
+    """The function of a block pair: (src, dst, d) of the k nearest references of each query.
 
-    Pairs of blocks are compared by matrix products, and only k rows a query leave each;
-    no pair is shuffled. All rows that rounding may have put behind the k-th, and all that
-    tie with it, are ranked by exact distances. ``drop_zero`` drops duplicates at distance
-    zero, before the k are taken.
+    All rows that rounding may have put behind the k-th, and all that tie with it, are
+    ranked by exact distances; ties go to the smaller identifier.
     """
     tie = 2e-12  # distances that are equal after rounding
 
@@ -72,25 +70,19 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "euclide
         ids, v, query = block_arrays(table)
         qi, ri = np.flatnonzero(query), np.flatnonzero(~query)
         out = ([], [], [])
-        for a in range(0, len(qi), 256):
+        for a in range(0, len(qi) if len(ri) else 0, 256):
             q = qi[a : a + 256]
             d = fast_distances(v[q], v[ri], metric)
             if not include_self:
                 d[ids[q][:, None] == ids[ri][None]] = np.inf
             wide = slack(v[q], v[ri], metric)
-            if drop_zero:
-                for i, near in enumerate(d <= (np.sqrt(wide) if metric == "euclidean" else wide)[:, None]):
-                    near = np.flatnonzero(near)
-                    d[i, near[exact_distances(v[ri[near]], v[q[i]][None], metric) <= 0]] = np.inf
             kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(ri) else np.full(len(q), np.inf)
             most = (np.sqrt(kth * kth + wide) if metric == "euclidean" else kth + wide) + tie
             for i, row in zip(q, ~(d > most[:, None])):
                 c = ri[row]
                 e = exact_distances(v[c], v[i][None], metric)
-                ok = np.ones(len(c), bool) if include_self else ids[c] != ids[i]
-                if drop_zero:
-                    ok &= e > 0
-                c, e = c[ok], e[ok]
+                if not include_self:
+                    c, e = c[ids[c] != ids[i]], e[ids[c] != ids[i]]
                 order = np.lexsort((ids[c], np.round(e, 12)))[:k]
                 out[0].append(np.full(len(order), ids[i]))
                 out[1].append(ids[c[order]])
@@ -98,11 +90,27 @@ def knn(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "euclide
         cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.table({"src": pa.array(cols[0].astype(np.int64)), "dst": pa.array(cols[1].astype(np.int64)), "d": pa.array(cols[2].astype(float))})
 
-    found = pair_blocks(df, id_col, vec_col).groupBy("qb", "rb").applyInArrow(run, "src bigint, dst bigint, d double")
+    return run
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(src, dst, d, rank): the k nearest of what all blocks found."""
     w = Window.partitionBy("src").orderBy(F.round("d", 12), "dst")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def knn(df: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "euclidean", include_self: bool = False, drop_zero: bool = False) -> DataFrame:
+    """Rows (src, dst, d, rank): the k nearest rows of every row; ties go to the smaller identifier.
+
+    Pairs of blocks are compared by matrix products, and only k rows a query leave each;
+    no pair is shuffled. ``drop_zero`` leaves out those of the k that are duplicates at distance
+    zero. All pairs are compared: for large tables there is ``approximate_knn``.
+    """
+    found = pair_blocks(df, id_col, vec_col).groupBy("qb", "rb").applyInArrow(nearest_in_block(k, metric, include_self), "src bigint, dst bigint, d double")
+    out = ranked(found, k)
+    return out.where("d > 0") if drop_zero else out
+
+
 def undirected(edges: DataFrame, weight: str | Column | None = None) -> DataFrame:
     """Simple undirected edges (src < dst, weight): loops go, repeats keep the greatest weight."""
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)

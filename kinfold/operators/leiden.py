@@ -7,6 +7,8 @@ from collections import defaultdict, deque
 
 from pyspark.sql import DataFrame, functions as F
 
+from kinfold.plans.tables import materialize
+
 #: (quality, resolution) as the reference's scripts call it.
 PRESETS = {"cpm_benchmark": ("cpm", 0.005), "cpm_raw": ("cpm", 0.05), "modularity": ("modularity", 1.0), "rb_plots": ("rb", 0.5)}
 
@@ -137,17 +139,18 @@ def communities(n: int, edges, kind: str = "modularity", gamma: float = 1.0, see
     return final
 
 
-def leiden(edges: DataFrame, vertices: DataFrame, kind: str = "modularity", gamma: float = 1.0, seed: int = 42, max_edges: int = 20_000_000) -> DataFrame:
+def leiden(edges: DataFrame, vertices: DataFrame, kind: str = "modularity", gamma: float = 1.0, seed: int = 42, max_edges: int = 5_000_000) -> DataFrame:
     """(id, label), labels by falling size, ties by the smallest member.
 
     The loop is sequential and runs on the driver, as on the one machine of the original;
-    above ``max_edges`` edges it is refused.
+    above ``max_edges`` edges or vertices it is refused, before any is collected.
     """
     spark = edges.sparkSession
-    rows = edges.select("src", "dst", F.col("weight").cast("double")).orderBy("src", "dst").limit(max_edges + 1).collect()
-    if len(rows) > max_edges:
-        raise ValueError(f"more than {max_edges} edges; raise max_edges if the driver can hold them")
-    ids = [r[0] for r in vertices.select("id").distinct().orderBy("id").collect()]
+    edges, vertices = materialize(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "leiden-edges"), vertices.select("id").distinct()
+    if edges.count() > max_edges or vertices.limit(max_edges + 1).count() > max_edges:
+        raise ValueError(f"more than {max_edges} edges or vertices; raise max_edges if the driver can hold them")
+    rows = edges.orderBy("src", "dst").collect()
+    ids = [r[0] for r in vertices.orderBy("id").collect()]
     at = {x: i for i, x in enumerate(ids)}
     part = communities(len(ids), [(at[a], at[b], w) for a, b, w in rows], kind, gamma, seed)
     groups: dict[int, list[int]] = defaultdict(list)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinfold.functions.sequences import hypothetical
 from kinfold.functions.vectors import euclidean
-from kinfold.operators.knn import block_arrays, fast_distances, pair_blocks
+from kinfold.operators.curation import sample_rows
+from kinfold.operators.knn import block_arrays, exact_distances, fast_distances, pair_blocks
+from kinfold.plans.tables import materialize
 
 _PAIRS = lambda c: c * (c - 1) / 2
 
@@ -50,13 +52,17 @@ def centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
     return x.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("centroid"))
 
 
-def silhouette(df: DataFrame, id_col: str, label: str, vec: str, metric: str = "euclidean", noise: int = -1) -> DataFrame:
-    """Exact mean silhouette without noise; a cluster of one scores 0. Null unless there are 2 clusters.
+def silhouette(df: DataFrame, id_col: str, label: str, vec: str, metric: str = "euclidean", noise: int = -1, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean silhouette without noise; a cluster of one scores 0. Null unless there are 2 clusters.
+
+    Exact over all rows, or over a seeded ``sample`` of them, as the benchmarks do.
 
     Pairs of blocks give each point its sums of distances to every cluster; the pairs
     themselves are never rows.
     """
     rows = df.where(F.col(label) != noise).select(F.col(id_col).alias("i"), F.col(label).cast("bigint").alias("label"), F.col(vec).alias("vec"))
+    if sample:
+        rows = materialize(sample_rows(rows, "i", sample, seed), "silhouette-sample")
 
     def run(key, table):
         import numpy as np
@@ -78,7 +84,7 @@ def silhouette(df: DataFrame, id_col: str, label: str, vec: str, metric: str = "
     sums = pair_blocks(rows, "i", "vec", ("label",)).groupBy("qb", "rb").applyInArrow(run, "i bigint, own bigint, label bigint, s double")
     sums = sums.groupBy("i", "own", "label").agg(F.sum("s").alias("s"))
     sizes = rows.groupBy("label").agg(F.count("*").alias("m"))
-    per = sums.join(F.broadcast(sizes), "label").groupBy("i").agg(
+    per = sums.join(sizes, "label").groupBy("i").agg(
         F.max(F.when(F.col("label") == F.col("own"), F.col("m"))).alias("m"),
         F.max(F.when((F.col("label") == F.col("own")) & (F.col("m") > 1), F.col("s") / (F.col("m") - 1))).alias("a"),
         F.min(F.when(F.col("label") != F.col("own"), F.col("s") / F.col("m"))).alias("b"),
@@ -91,9 +97,24 @@ def davies_bouldin(df: DataFrame, label: str, vec: str, noise: int = -1) -> Data
     """Mean over clusters of the worst (s_i + s_j) / d_ij, s being mean distances to the centroid."""
     rows = df.where(F.col(label) != noise).withColumn("label", F.col(label))
     c = centroids(rows, "label", vec)
-    s = rows.join(F.broadcast(c), "label").groupBy("label").agg(F.avg(euclidean(F.col(vec), F.col("centroid"))).alias("s"), F.first("centroid").alias("centroid"))
-    a, b = s.toDF("la", "sa", "ca"), s.toDF("lb", "sb", "cb")
-    worst = a.join(F.broadcast(b), F.col("la") != F.col("lb")).groupBy("la").agg(F.max((F.col("sa") + F.col("sb")) / euclidean(F.col("ca"), F.col("cb"))).alias("w"))
+    s = rows.join(c, "label").groupBy("label").agg(F.avg(euclidean(F.col(vec), F.col("centroid"))).alias("s"), F.first("centroid").alias("centroid"))
+    s = materialize(s.withColumn("label", F.col("label").cast("bigint")), "davies-bouldin")
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, v, query = block_arrays(table)
+        spread = table.column("s").to_numpy()
+        q, r = np.flatnonzero(query), np.flatnonzero(~query)
+        w = np.full(len(q), -np.inf)
+        for n, i in enumerate(q):
+            d = exact_distances(v[r], v[i][None], "euclidean")
+            other = (ids[r] != ids[i]) & (d > 0)
+            w[n] = ((spread[i] + spread[r[other]]) / d[other]).max(initial=-np.inf)
+        return pa.table({"i": ids[q], "w": w})
+
+    worst = pair_blocks(s, "label", "centroid", ("s",)).groupBy("qb", "rb").applyInArrow(run, "i bigint, w double").where("w > double('-infinity')").groupBy("i").agg(F.max("w").alias("w"))
     return worst.agg(F.round(F.avg("w"), 6).alias("davies_bouldin"))
 
 
@@ -121,7 +142,7 @@ def purity_entropy(df: DataFrame, label: str, value: str) -> DataFrame:
 def radius_variance(df: DataFrame, label: str, vec: str) -> DataFrame:
     """Mean and greatest distance to the centroid, and population variance summed over positions."""
     c = centroids(df, label, vec).withColumnRenamed("label", "cluster_id")
-    d = df.join(F.broadcast(c), F.col(label) == F.col("cluster_id")).select("cluster_id", euclidean(F.col(vec), F.col("centroid")).alias("d"))
+    d = df.join(c, F.col(label) == F.col("cluster_id")).select("cluster_id", euclidean(F.col(vec), F.col("centroid")).alias("d"))
     d = d.groupBy("cluster_id").agg(F.round(F.avg("d"), 6).alias("mean_distance"), F.round(F.max("d"), 6).alias("radius"))
     v = df.select(F.col(label).alias("cluster_id"), F.posexplode(vec).alias("pos", "x")).groupBy("cluster_id", "pos").agg(F.var_pop(F.col("x").cast("double")).alias("v"))
     return d.join(v.groupBy("cluster_id").agg(F.round(F.sum("v"), 6).alias("variance")), "cluster_id")
@@ -157,6 +178,19 @@ def drill_down(df: DataFrame, label: str, cluster, id_col: str, vec: str, produc
     return rows.select(F.col(id_col).alias("member"), F.col(product).alias("product"), F.round(euclidean(F.col(vec), F.col("centroid")), 6).alias("distance"), hypothetical(F.col(product)).alias("hypothetical"))
 
 
+def drill_summary(members: DataFrame) -> DataFrame:
+    """Of a cluster's members (``drill_down``): size, mean and greatest distance, share of unknown products."""
+    share = F.round(F.avg(F.col("hypothetical").cast("double")) * 100, 2)
+    return members.agg(F.count("*").alias("members"), F.round(F.avg("distance"), 6).alias("mean_distance"), F.round(F.max("distance"), 6).alias("max_distance"), F.coalesce(share, F.lit(0.0)).alias("percent_hypothetical"))
+
+
+def product_shares(members: DataFrame) -> DataFrame:
+    """The products of a cluster's members, the most frequent first, with their percentage."""
+    g = members.groupBy("product").agg(F.count("*").alias("n"))
+    total = members.agg(F.count("*").alias("members"))
+    return g.join(F.broadcast(total)).select("product", "n", F.round(F.col("n") * 100 / F.col("members"), 2).alias("percent")).orderBy(F.desc("n"), "product")
+
+
 def partition_quality(edges: DataFrame, labels: DataFrame, kind: str = "modularity", gamma: float = 1.0) -> DataFrame:
     """Quality of a given partition: CPM, modularity or Reichardt-Bornholdt with resolution ``gamma``."""
     a, b = labels.toDF("src", "ls"), labels.toDF("dst", "ld")

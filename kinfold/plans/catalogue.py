@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.plans import q_families, q_tables  # noqa: F401
+from kinfold.plans import q_drivers, q_families, q_tables  # noqa: F401
 from kinfold.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 

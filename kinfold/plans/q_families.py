@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import vectors as vx
 from kinfold.operators import curation as cur, embedding as em, identity as idn, metrics as mt
 from kinfold.operators.hdbscan import core_distances, hdbscan, spanning_tree
+from kinfold.operators.ivf import approximate_knn, measured_recall
 from kinfold.operators.knn import knn, knn_graph, mutual
 from kinfold.operators.leiden import PRESETS as LEIDEN, leiden
 from kinfold.plans.registry import query
@@ -61,7 +62,7 @@ def masked_mean_pool(spark, d):
 
 
 _LAND = f"""(SELECT d.doc_id AS id, l.doc_id AS landmark, list_sum(list_transform(range(1, least(length(d.t), length(l.t)) + 1), lambda i: CASE WHEN d.t[i] <> l.t[i] THEN 1 ELSE 0 END)) AS wrong, d.t AS x, l.t AS y
-    FROM (SELECT doc_id, text AS t FROM documents WHERE n_chars BETWEEN 30 AND 1175) d, (SELECT doc_id, text AS t FROM documents WHERE n_chars BETWEEN 30 AND 1175 ORDER BY doc_id LIMIT 10) l)"""
+    FROM (SELECT doc_id, text AS t FROM documents WHERE n_chars BETWEEN 30 AND 1175) d, (SELECT doc_id, text AS t FROM documents WHERE n_chars BETWEEN 30 AND 1175 ORDER BY doc_id LIMIT 20) l)"""
 
 
 def _curated(spark, d):
@@ -71,7 +72,7 @@ def _curated(spark, d):
 @query(f"SELECT id, landmark, round((wrong + abs(length(x) - length(y))) / greatest(length(x), length(y)), 6) AS d FROM {_LAND}")
 def padded_hamming_landmarks(spark, d):
     c = _curated(spark, d)
-    return em.landmark_distances(c, em.landmarks(c, "doc_id", "text", 10), "doc_id", "text").withColumn("d", F.round("d", 6))
+    return em.landmark_distances(c, em.landmarks(c, "doc_id", "text", 20), "doc_id", "text").withColumn("d", F.round("d", 6))
 
 
 @query(f"SELECT id, landmark, round(d - avg(d) OVER (PARTITION BY id), 6) AS d FROM (SELECT id, landmark, (wrong + abs(length(x) - length(y))) / greatest(length(x), length(y)) AS d FROM {_LAND})")
@@ -79,7 +80,7 @@ def landmark_row_centered(spark, d):
     from pyspark.sql import Window
 
     c = _curated(spark, d)
-    x = em.landmark_distances(c, em.landmarks(c, "doc_id", "text", 10), "doc_id", "text")
+    x = em.landmark_distances(c, em.landmarks(c, "doc_id", "text", 20), "doc_id", "text")
     return x.select("id", "landmark", F.round(F.col("d") - F.avg("d").over(Window.partitionBy("id")), 6).alias("d"))
 
 
@@ -180,7 +181,7 @@ def core_distance(spark, d):
     return core_distances(E(spark, d), "id", "vec", 20).withColumn("core", F.round("core", 6))
 
 
-@query(f"""WITH k AS ({_KNN[1:-1] % 20}), c AS (SELECT src AS id, d AS core FROM k WHERE rank = 20) SELECT src, dst, round(greatest(x.core, y.core, d), 6) AS reach FROM k JOIN c x ON x.id = src JOIN c y ON y.id = dst""")
+@query(f"""WITH k AS MATERIALIZED ({_KNN[1:-1] % 20}), c AS (SELECT src AS id, d AS core FROM k WHERE rank = 20) SELECT src, dst, round(greatest(x.core, y.core, d), 6) AS reach FROM k JOIN c x ON x.id = src JOIN c y ON y.id = dst""")
 def mutual_reachability(spark, d):
     k = knn(E(spark, d), "id", "vec", 20)
     core = k.where("rank = 20").select(F.col("src").alias("id"), F.col("d").alias("core"))
@@ -245,13 +246,12 @@ def umap_2d(spark, d):
 def svd_50(spark, d):
     from kinfold.operators import kmers as km
 
-    c = km.kmer_counts(_curated(spark, d), "doc_id", "text", [3])
-    return em.truncated_svd(km.sparse_rows(c, km.vocabulary(c)).select("id", "col", "freq"), 50)
+    return em.truncated_svd(km.bounded_columns(km.kmer_counts(_curated(spark, d), "doc_id", "text", [6])), 50)
 
 
 @query()
 def lmds_project(spark, d):
-    return em.landmark_mds(_curated(spark, d), "doc_id", "text", 40, 10)
+    return em.landmark_mds(_curated(spark, d), "doc_id", "text")
 
 
 @query()
@@ -276,27 +276,9 @@ for _m in em.MODELS:
     _embed(_m)
 
 
-@query()
-def benchmark_simple(spark, d):
-    from kinfold.operators.drivers import algorithms, benchmark
-
-    e = E(spark, d).withColumnRenamed("label", "truth")
-    return benchmark({"dense": lambda: e.select("id", "truth", "vec"), "missing": lambda: e.select("id", "truth", "nothing")}, algorithms())
-
-
-@query()
-def benchmark_fusions(spark, d):
-    from kinfold.operators.drivers import algorithms, benchmark, fused, fusions
-
-    e = E(spark, d).withColumnRenamed("label", "truth")
-    e = e.select("id", "truth", *[F.slice("vec", 1 + 16 * i, 16).alias(n) for i, n in enumerate("abcd")])
-    algos = {"leiden": algorithms("fused", "modularity", 1.0)["leiden"]}
-    return benchmark({"+".join(c): (lambda c=c: fused(e, c)) for c in fusions("abcd")}, algos)
-
-
-@query(f"""SELECT label AS cluster_id, count(*) AS size FROM embeddings GROUP BY 1""")
+@query(f"""SELECT label AS cluster_id, count(*) AS size FROM embeddings GROUP BY 1 ORDER BY 2 DESC, 1""")
 def cluster_sizes(spark, d):
-    return E(spark, d).groupBy(F.col("label").alias("cluster_id")).agg(F.count("*").alias("size"))
+    return E(spark, d).groupBy(F.col("label").alias("cluster_id")).agg(F.count("*").alias("size")).orderBy(F.desc("size"), "cluster_id")
 
 
 def _flag_sql() -> str:
@@ -313,7 +295,17 @@ def cluster_table(spark, d):
     return mt.cluster_table(e, knn_graph(e, "id", "vec", 15), "id", "label", "vec", "product")
 
 
-@query()
+_COS = "1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
+
+
+def _graph_sql(name: str, k: int, dist: str, weighted: bool, extra: str = "") -> str:
+    """The edges of one preset, counted and added up."""
+    w = "1 / (1 + d)" if weighted else "1.0::DOUBLE"
+    return f"""SELECT '{name}' AS preset, count(*) AS edges, round(sum(w), 6) AS weight FROM (SELECT least(src, dst) AS x, greatest(src, dst) AS y, max({w}) AS w FROM
+        (SELECT a.id AS src, b.id AS dst, {dist} AS d, row_number() OVER (PARTITION BY a.id ORDER BY round({dist}, 12), b.id) AS rank FROM {_ED} a JOIN {_ED} b ON a.id <> b.id) WHERE rank <= {k} {extra} GROUP BY 1, 2)"""
+
+
+@query(" UNION ALL ".join([_graph_sql("reduced", 15, _DIST, True, "AND d > 0"), _graph_sql("fused", 15, _COS, False), _graph_sql("raw", 14, _DIST, True), _graph_sql("plots", 14, _DIST, False)]))
 def undirected_presets(spark, d):
     """Edges of the four neighbour graphs, counted."""
     from kinfold.operators.knn import PRESETS
@@ -325,3 +317,44 @@ def undirected_presets(spark, d):
     return out
 
 
+@query()
+def knn_approximate(spark, d):
+    """The 15 nearest by cosine, from inverted lists of 64 rows on average, so that small tables are probed too."""
+    e = E(spark, d)
+    return approximate_knn(e, "id", "vec", 15, "cosine", lists=max(2, e.count() // 64)).select("src", "dst", F.round("d", 6).alias("d"), "rank")
+
+
+@query()
+def knn_approximate_recall(spark, d):
+    """What part of the exact neighbours of all rows the approximate ones hold."""
+    return measured_recall(knn_approximate(spark, d), knn(E(spark, d), "id", "vec", 15, "cosine"))
+
+
+_DRILL = f"SELECT CAST(a.id % 7 AS VARCHAR) || CASE WHEN a.id % 3 = 0 THEN ' unknown' ELSE ' kinase' END AS product, a.id % 3 = 0 AS hypothetical, {_DIST} AS distance FROM {_ED} a JOIN {_CENT} b USING (label) WHERE a.label = 3"
+
+
+def _members(spark, d):
+    kind = F.when(F.col("id") % 3 == 0, " unknown").otherwise(" kinase")
+    e = E(spark, d).withColumn("product", F.concat(F.pmod("id", F.lit(7)).cast("string"), kind))
+    return mt.drill_down(e, "label", 3, "id", "vec", "product")
+
+
+@query(f"SELECT count(*) AS members, round(avg(distance), 6) AS mean_distance, round(max(distance), 6) AS max_distance, round(100 * avg(CASE WHEN hypothetical THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 2) AS percent_hypothetical FROM ({_DRILL})")
+def drill_summary(spark, d):
+    return mt.drill_summary(_members(spark, d))
+
+
+@query(f"SELECT product, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM ({_DRILL})), 2) AS percent FROM ({_DRILL}) GROUP BY 1")
+def drill_products(spark, d):
+    return mt.product_shares(_members(spark, d))
+
+
+_SUB = f"(SELECT * FROM {_ED} ORDER BY md5('42:' || id), id LIMIT 300)"
+
+
+@query(f"""WITH e AS MATERIALIZED {_SUB}, s AS (SELECT a.id, a.label AS own, b.label, sum({_COS}) AS s FROM e a JOIN e b ON true GROUP BY 1, 2, 3), z AS (SELECT label, count(*) AS m FROM e GROUP BY 1),
+    p AS (SELECT id, max(CASE WHEN label = own THEN m END) AS m, max(CASE WHEN label = own AND m > 1 THEN s / (m - 1) END) AS a, min(CASE WHEN label <> own THEN s / m END) AS b FROM s JOIN z USING (label) GROUP BY 1)
+    SELECT round(avg(CASE WHEN m = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette FROM p""")
+def silhouette_sampled(spark, d):
+    """By cosine, over a seeded sample of 300 rows."""
+    return mt.silhouette(E(spark, d), "id", "label", "vec", "cosine", sample=300).select(F.round("silhouette", 5).alias("silhouette"))

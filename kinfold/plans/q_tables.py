@@ -132,7 +132,7 @@ def kmer_profile_5(spark, d):
     return km.kmer_counts(T(spark, d, "documents"), "doc_id", "text", [5]).withColumn("freq", F.round("freq", 6))
 
 
-@query()
+@query(_kmer_sql(6))
 def kmer_profile_6(spark, d):
     return km.kmer_counts(T(spark, d, "documents"), "doc_id", "text", [6]).withColumn("freq", F.round("freq", 6))
 
@@ -144,14 +144,13 @@ def kmer_vocab_by_k(spark, d):
 
 @query("""SELECT substr(text, CAST(i AS BIGINT), 3) AS key, count(*) AS n FROM documents, range(1, length(text) - 1) AS r(i) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")
 def kmer_top(spark, d):
-    c = km.kmer_counts(T(spark, d, "documents"), "doc_id", "text", [3])
-    return c.groupBy(F.col("kmer").alias("key")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(50)
+    return km.kmer_totals(T(spark, d, "documents"), "text", [3]).select(F.col("kmer").alias("key"), "n").orderBy(F.desc("n"), "key").limit(50)
 
 
 @query("""WITH v AS (SELECT DISTINCT substr(text, CAST(i AS BIGINT), 3) AS kmer FROM documents, range(1, length(text) - 1) AS r(i))
     SELECT CAST(3 AS INT) AS k, kmer, CAST(row_number() OVER (ORDER BY kmer COLLATE "C") - 1 AS INT) AS col FROM v""")
 def kmer_vocabulary(spark, d):
-    return km.vocabulary(km.kmer_counts(T(spark, d, "documents"), "doc_id", "text", [3]))
+    return km.vocabulary(km.kmer_totals(T(spark, d, "documents"), "text", [3]))
 
 
 @query()

@@ -7,7 +7,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from kinfold.functions.sequences import accession_path, strip
+from kinfold.functions.sequences import accession_path, id_from_filename, strip
+from kinfold.plans.tables import materialize, numbered
 
 GENE_DDL = (
     "protein_id string, product string, nt_sequence string, aa_sequence string, nt_length int, aa_length int, "
@@ -28,11 +29,11 @@ def missing_files(accessions: DataFrame, files: DataFrame) -> DataFrame:
     return accessions.join(have, "accession", "left_anti").withColumn("target", accession_path(F.col("accession")))
 
 
-def fetch_batches(accessions: DataFrame, fetch, size: int = 100, tries: int = 3, wait: float = 15.0) -> DataFrame:
+def fetch_batches(accessions: DataFrame, fetch, size: int = 100, tries: int = 3, wait: float = 15.0, pause: float = 0.3) -> DataFrame:
     """Rows (accession, content, error) by ``fetch(list of accessions) -> dict``, ``size`` at a time.
 
-    A failed request is repeated, after ``wait`` seconds more each time; then its rows carry
-    the error. ``fetch`` runs on the executors.
+    Requests of a task are ``pause`` seconds apart. A failed one is repeated, after ``wait`` seconds
+    more each time; then its rows carry the error. ``fetch`` runs on the executors.
     """
     import time
 
@@ -41,6 +42,7 @@ def fetch_batches(accessions: DataFrame, fetch, size: int = 100, tries: int = 3,
             ids = b.column(0).to_pylist()
             for a in range(0, len(ids), size):
                 part, got, err = ids[a : a + size], {}, None
+                time.sleep(pause if a else 0)
                 for n in range(1, tries + 1):
                     try:
                         got, err = fetch(part), None
@@ -62,6 +64,22 @@ _FEATURE = re.compile(r"^ {5}(\S+)\s+(.+)$")
 _QUALIFIER = re.compile(r"^ {21}/([^=\s]+)(?:=(.*))?$")
 
 
+def _spans(spot: str) -> list[tuple[int, int, int]]:
+    """(start, end, strand) of a location's parts, in the order in which they are read."""
+    if m := re.fullmatch(r"(complement|join|order)\((.*)\)", spot):
+        if m[1] == "complement":
+            return [(a, b, -s) for a, b, s in _spans(m[2])[::-1]]
+        parts, depth = [""], 0
+        for c in m[2]:
+            depth += (c == "(") - (c == ")")
+            if c == "," and not depth:
+                parts.append("")
+            else:
+                parts[-1] += c
+        return [x for p in parts for x in _spans(p)]
+    return [(int(a) - 1, int(b or a), 1) for a, b in re.findall(r"<?(\d+)(?:(?:\.\.|\^)>?(\d+))?", spot)]
+
+
 def parse_genbank(text: str):
     """Gene rows of a GenBank text: one for each CDS feature, with defaults for what is missing."""
     for record in re.split(r"^//\s*$", text, flags=re.M):
@@ -97,13 +115,12 @@ def parse_genbank(text: str):
             if f[0] != "CDS":
                 continue
             spot = f[1][0]
-            spans = [(int(a) - 1, int(b or a)) for a, b in re.findall(r"<?(\d+)(?:\.\.>?(\d+))?", re.sub(r"[A-Za-z_]+[\d.]*:", "", spot))]
-            strand = -1 if spot.startswith("complement") else 1
-            nt = "".join(seq[a:b] for a, b in spans)
-            if strand == -1:
-                nt = nt[::-1].translate(str.maketrans("ACGTUacgtu", "TGCAAtgcaa"))
+            spans = _spans(re.sub(r"[A-Za-z_]+[\d.]*:|\s", "", spot))
+            strands = {s for _, _, s in spans}
+            strand = strands.pop() if len(strands) == 1 else None  # parts of both strands have none in common
+            nt = "".join(seq[a:b] if s == 1 else seq[a:b][::-1].translate(str.maketrans("ACGTUacgtu", "TGCAAtgcaa")) for a, b, s in spans)
             aa = get(f, "translation", "").replace(" ", "")
-            yield {"protein_id": get(f, "protein_id", "no_id"), "product": get(f, "product", "unknown"), "nt_sequence": nt, "aa_sequence": aa, "nt_length": len(nt), "aa_length": len(aa), "metadata_virus": meta, "location": {"start": min((a for a, _ in spans), default=None), "end": max((b for _, b in spans), default=None), "strand": strand}, "error": None}
+            yield {"protein_id": get(f, "protein_id", "no_id"), "product": get(f, "product", "unknown"), "nt_sequence": nt, "aa_sequence": aa, "nt_length": len(nt), "aa_length": len(aa), "metadata_virus": meta, "location": {"start": min((a for a, _, _ in spans), default=None), "end": max((b for _, b, _ in spans), default=None), "strand": strand}, "error": None}
 
 
 def genbank_genes(files: DataFrame) -> DataFrame:
@@ -122,8 +139,12 @@ def genbank_genes(files: DataFrame) -> DataFrame:
                         rows.append(gene)
                 except Exception as e:  # noqa: BLE001
                     rows.append({n: None for n in names} | {"error": f"{path}: {type(e).__name__}: {e}"})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                try:
+                    batch = pa.RecordBatch.from_pylist(rows, schema=schema)
+                except (pa.ArrowInvalid, OverflowError) as e:  # a number beyond the column's type
+                    batch = pa.RecordBatch.from_pylist([{n: None for n in names} | {"error": f"{path}: {type(e).__name__}: {e}"}], schema=schema)
+                if batch.num_rows:
+                    yield batch
 
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, GENE_DDL)
 
@@ -136,7 +157,7 @@ def cluster_tsv(lines: DataFrame, pos: str, line: str) -> DataFrame:
     """
     parts = F.split(line, "\t")
     rows = lines.where(F.size(parts) >= 2).select(F.col(pos).alias("pos"), strip(parts[0]).alias("rep"), strip(parts[1]).alias("member"))
-    reps = rows.groupBy("rep").agg(F.min("pos").alias("first")).select("rep", (F.dense_rank().over(Window.orderBy("first")) - 1).cast("bigint").alias("cluster"))
+    reps = numbered(rows.groupBy("rep").agg(F.min("pos").alias("first")), F.col("first"), F.col("rep")).select("rep", F.col("number").alias("cluster"))
     last = rows.groupBy("member").agg(F.max_by("rep", "pos").alias("rep"))
     return last.join(reps, "rep").select("member", "cluster")
 
@@ -145,11 +166,22 @@ def clstr(lines: DataFrame, pos: str, line: str, part: str | None = None) -> Dat
     """(member, cluster) of a greedy clusterer's report: a header's number holds for the lines below.
 
     Lines before a header and lines without markers are skipped. ``part`` names a
-    column that splits independent files, so that not all lines meet in one window.
+    column that splits independent small files; without it one file's lines are dealt by ranges.
     """
     header = F.regexp_extract(line, r"^>Cluster\s+(\d+)", 1)
-    w = Window.partitionBy(*([part] if part else [])).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    filled = lines.withColumn("cluster", F.last(F.when(header != "", header.cast("bigint")), ignorenulls=True).over(w))
+    own = F.when(header != "", header.cast("bigint"))
+    if part:
+        w = Window.partitionBy(part).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+        filled = lines.withColumn("cluster", F.last(own, ignorenulls=True).over(w))
+    else:
+        # a file is dealt by ranges of lines; a range's first lines take the last header of those before
+        n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = materialize(lines.repartitionByRange(n, pos).withColumn("_range", F.spark_partition_id()).withColumn("_own", own), "clstr")
+        ends = dealt.where("_own is not null").groupBy("_range").agg(F.max_by("_own", pos).alias("_end"))
+        ranges = dealt.select("_range").distinct().join(ends, "_range", "left")
+        ranges = ranges.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+        w = Window.partitionBy("_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+        filled = dealt.join(F.broadcast(ranges), "_range").withColumn("cluster", F.coalesce(F.last("_own", ignorenulls=True).over(w), "_before"))  # one row a shuffle partition
     rows = filled.select(F.regexp_extract(line, r">(.*?)\.\.\.", 1).alias("member"), "cluster")
     return rows.where("member <> '' and cluster is not null")
 
@@ -178,6 +210,25 @@ def report_members(texts: DataFrame, col: str, keep: tuple[str, ...] = ()) -> Da
     return lines.select(*keep, first.alias("member")).where("member <> '' and not member like '===%' and not member like '---%' and member <> 'protein_id'").distinct()
 
 
+def read_reports(spark: SparkSession, folder: str, pattern: str = "reporte_cluster_*.txt") -> DataFrame:
+    """(cluster, cluster_number, text) of all reports in a folder: the identifier in the file's name, as a number where it is one."""
+    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(folder)
+    name, number = id_from_filename(F.input_file_name(), pattern.replace(".", r"\.").replace("*", "(.+)") + "$")
+    return raw.select(name.alias("cluster"), number.alias("cluster_number"), F.col("value").alias("text"))
+
+
+def split_errors(genes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(genes, errors): rows that were read, and one row (path, message) for each file that broke."""
+    path, message = F.substring_index("error", ": ", 1), F.expr("substring(error, instr(error, ': ') + 2)")
+    return genes.where("error is null").drop("error"), genes.where("error is not null").select(path.alias("path"), message.alias("message"))
+
+
+def collapsed_ids(genes: DataFrame) -> DataFrame:
+    """(accession, collapsed): genes without an identifier share one and collapse to a row for each accession; how many are lost."""
+    rows = genes.where("protein_id = 'no_id'").groupBy(F.col("metadata_virus.accession").alias("accession")).agg((F.count("*") - 1).alias("collapsed"))
+    return rows.where("collapsed > 0")
+
+
 def fasta_lines(df: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     """FASTA records as text values, sequences in capitals; for ``write.text``."""
     return df.select(F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit("\n"), F.upper(seq_col)).alias("value"))
@@ -206,5 +257,5 @@ def write_report(df: DataFrame, path: str, title: str, limit: int = 1000) -> Non
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One CSV file with a header, for small tables."""
+    """A folder of CSV files, one for each call, for small tables; every file has its header, which readers skip."""
     df.coalesce(1).write.mode(mode).option("header", "true").csv(path)

@@ -17,9 +17,10 @@ def test_more_ties_than_any_margin(spark, metric, drop_zero):
     k, want = 5, {}
     for i, v in zip(ids, x):
         e = kn.exact_distances(x, v[None], metric)
-        ok = (ids != i) & ((e > 0) | (not drop_zero))
+        ok = ids != i
         order = np.lexsort((ids[ok], np.round(e[ok], 12)))[:k]
-        want[int(i)] = [int(j) for j in ids[ok][order]]
+        if near := [int(j) for j, x_ in zip(ids[ok][order], e[ok][order]) if x_ > 0 or not drop_zero]:
+            want[int(i)] = near
     got: dict = {}
     for row in kn.knn(d, "id", "vec", k, metric, drop_zero=drop_zero).orderBy("src", "rank").collect():
         got.setdefault(row["src"], []).append(row["dst"])

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinfold.plans.tables import materialize
+from kinfold.plans.tables import discard, materialize
 
 #: Entity types and what detects them, the more specific first.
 DETECTORS: dict[str, str] = {
+    "password": r"(?<=://[^\s:@/]{1,64}:)[^\s:@/]{1,128}(?=@)",
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----",
+    "token": r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{10,250}|sk-[0-9A-Za-z_-]{20,250}|eyJ[0-9A-Za-z_-]{8,2000}\.eyJ[0-9A-Za-z_-]{4,4000}\.[0-9A-Za-z_-]{4,2000})(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,128}(?![\p{L}\p{N}])",
+    "mac": r"(?<![\p{L}\p{N}:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:-])",
+    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{3})(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ip": r"(?<![\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{N}])|(?<![\p{N}])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{N}])",
@@ -21,31 +26,46 @@ DETECTORS: dict[str, str] = {
 PATTERN = "|".join(f"(?:{p})" for p in DETECTORS.values())
 
 #: Letters that stand for letters, by script; each keeps its own kind.
-KINDS = {"vowel": "aeiou", "consonant": "bcdfghklmnprstvz", "cyrillic_vowel": "аеиоуя", "cyrillic_consonant": "бвгдзклмнпрст", "greek": "αβγδεικλμνορστυω", "accented": "áéíóúàèâêôäöü", "digit": "0123456789"}
+KINDS = {"vowel": "aeiou", "consonant": "bcdfghklmnprstvz", "cyrillic_vowel": "аеиоуя", "cyrillic_consonant": "бвгдзклмнпрст", "greek": "αβγδεικλμνορστυω", "accented": "áéíóúàèâêôäöü", "digit": "0123456789", "upper": "ABCDEFGHJKLMNPQRSTUVWXYZ", "hex": "0123456789abcdef"}
+#: Letters for scripts without a table of kinds, by Unicode script; any other letter becomes one of the last.
+SCRIPTS = {"Han": "安白成大方高光海河华金林明南平青山石水松天文星雪阳云中竹", "Hangul": "가나다라마바사아자차카타파하강김남박송신오윤임장정조한", "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにのはひふへほまみも", "Katakana": "アイウエオカキクケコサシスセソタチツテトナニノハヒフヘホマミモ", "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת", "Arabic": "ابتجحدرزسشصضطعفقكلمنهوي", "Devanagari": "कखगचजटडतदनपबमयरलवशसह", "Thai": "กขคงจชซดตถทนบปพมยรลวสห", "Latin": "áéíóúàèâêôäöü"}
 _MEMBERS = {"vowel": "aeiouy", "consonant": "bcdfghjklmnpqrstvwxz", "cyrillic_vowel": "аеёиоуыэюя", "cyrillic_consonant": "бвгджзйклмнпрстфхцчшщьъ", "greek": "αβγδεζηθικλμνξοπρσςτυφχψω", "digit": "0123456789"}
 SEPARATORS = r"[ ().-]"
-ATTEMPTS = 64  # draws of an entity's own length; each further one is a character longer, where its type allows
+ATTEMPTS = 8  # draws of an entity's own length; each further one is a character longer, where its type allows
+
+
+PERSONS = ("person_f", "person_m")
+EXACT = ("pem", "password", "token")
+#: What says the kind of a key, and stays.
+KEY_PREFIX = r"^(-----BEGIN [A-Z ]*-----|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|eyJ)"
 
 
 def kind_of(entity: Column) -> Column:
-    """The type of a detected string: the first detector that takes it whole."""
-    out = F.lit(None).cast("string")
+    """The type of a detected string: the first detector that takes it whole. A password is
+    known by what stands before it, and is what no other detector takes."""
+    out = F.lit("password")
     for name, p in reversed(DETECTORS.items()):
         out = F.when(entity.rlike(f"^(?:{p})$"), F.lit(name)).otherwise(out)
     return out
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What all spellings of one entity share: lower case, and no separators in numbers."""
+    """What all spellings of one entity share: lower case, no separators in numbers, no title of a
+    person. The letters of keys and passwords have no other spelling."""
     low = F.lower(entity)
-    return F.when(kind.isin("phone", "card", "ssn", "iban"), F.regexp_replace(low, SEPARATORS, "")).otherwise(low)
+    numbers = F.when(kind.isin("phone", "card", "ssn", "iban"), F.regexp_replace(low, SEPARATORS, ""))
+    return numbers.when(kind.isin(*PERSONS), F.substring(low, _title(entity) + 1, F.length(low))).when(kind.isin(*EXACT), entity).otherwise(low)
+
+
+def _title(entity: Column) -> Column:
+    return F.length(F.regexp_extract(entity, r"^(\S+ )", 1))
 
 
 def _kept_prefix(kind: Column, name: Column) -> Column:
-    """Leading characters that say the type and not the person: country codes, issuer, title."""
+    """Leading characters that say the type and not the person: country codes, issuer, kind of key."""
     plus = F.when(name.startswith("+"), F.lit(2)).otherwise(F.lit(0))
-    title = F.length(F.regexp_extract(name, r"^(\S+ )", 1))
-    return F.when(kind == "phone", plus).when(kind == "card", F.lit(1)).when(kind == "iban", F.lit(2)).when(kind.isin("person_f", "person_m"), title).otherwise(F.lit(0))
+    own = F.when(kind.isin("pem", "token"), F.length(F.regexp_extract(name, KEY_PREFIX, 1)))
+    return own.when(kind == "phone", plus).when(kind == "card", F.lit(1)).when(kind == "iban", F.lit(2)).otherwise(F.lit(0))
 
 
 def _pick(chars: str, n: Column) -> Column:
@@ -56,7 +76,7 @@ def _growth(kind: Column, name: Column) -> Column:
     """The number of characters before the place where a surrogate may grow: of a personal name
     before its last letter, of an address at the end of its local part, of a phone number at
     the end. Null for the other types, which have millions of surrogates at any length."""
-    return F.when(kind.isin("person_f", "person_m"), F.length(name) - 1).when(kind == "email", F.instr(name, "@") - 1).when(kind == "phone", F.length(name))
+    return F.when(kind.isin(*PERSONS), F.length(name) - 1).when(kind == "password", F.length(name)).when(kind == "email", F.instr(name, "@") - 1).when(kind == "phone", F.length(name))
 
 
 def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
@@ -64,28 +84,32 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
 
     A keyed SHA-512 drives every character: digits become digits, hexadecimal ones
     hexadecimal, vowels vowels and consonants consonants of the same script. The last
-    letter of a personal name stays, and so does its gender's ending, as do title,
-    country code, issuer digit and top-level domain. Addresses keep valid octets, cards
-    their check digit. From the attempt ATTEMPTS on, a name, address or phone number grows
+    letter of a personal name stays, and so does its gender's ending, as do
+    country code, issuer digit, kind of key and top-level domain. Addresses keep valid octets, cards
+    and account numbers get their check digits. From the attempt ATTEMPTS on, a name, address or phone number grows
     by characters of the kind of its last free one.
     """
     seed = F.concat_ws("\x1f", F.lit(key), kind, name, attempt.cast("string"))
     stream = F.concat(*[F.sha2(F.concat(F.lit(f"{i}:"), seed), 512) for i in range(4)])
     byte = lambda i: F.conv(F.substring(stream, F.pmod(3 * i, F.lit(500)).cast("int") + 1, F.lit(4)), 16, 10).cast("bigint")
     size, prefix = F.length(name), _kept_prefix(kind, name)
-    suffix = F.when(kind == "email", F.length(F.regexp_extract(name, r"(\.[^.]*)$", 1))).when(kind.isin("person_f", "person_m"), F.lit(1)).otherwise(F.lit(0))
+    suffix = F.when(kind == "email", F.length(F.regexp_extract(name, r"(\.[^.]*)$", 1))).when(kind.isin(*PERSONS), F.lit(1)).when(kind == "pem", F.length(F.regexp_extract(name, r"(-----END [A-Z ]*-----)$", 1))).otherwise(F.lit(0))
 
     def drawn(c: Column, n: Column) -> Column:
-        new = F.when(c.rlike("[0-9a-f]") & (kind == "secret"), _pick("0123456789abcdef", n))
+        new = F.when(kind.isin("secret", "mac", "ipv6") & c.rlike("[0-9a-f]"), _pick(KINDS["hex"], n)).when(kind.isin(*EXACT) & c.rlike("[A-Z]"), _pick(KINDS["upper"], n))
         for k, members in _MEMBERS.items():
             new = new.when(F.instr(F.lit(members), c) > 0, _pick(KINDS[k], n))
-        return new.when(c.rlike(r"\p{L}"), F.when(c.rlike(r"\p{IsLatin}"), _pick(KINDS["accented"], n)).otherwise(c)).otherwise(c)
+        other = F.lit(None).cast("string")
+        for script, letters in reversed(SCRIPTS.items()):
+            other = F.when(c.rlike(rf"\p{{Is{script}}}"), _pick(letters, n)).otherwise(other)
+        return new.when(c.rlike(r"\p{L}"), F.coalesce(other, _pick(SCRIPTS["Latin"], n))).otherwise(c)
 
     def swap(i: Column) -> Column:
         c = F.substring(name, i, F.lit(1))
         return F.when((i <= prefix) | (i > size - suffix), c).otherwise(drawn(c, byte(i)))
 
     chars = F.array_join(F.transform(F.sequence(F.lit(1), size), swap), "")
+    chars = F.when((kind == "token") & name.startswith("eyJ"), F.regexp_replace(chars, r"^([^.]*)\.[^.]{3}", "$1.eyJ")).otherwise(chars)  # both parts are objects
     octet = lambda i: (F.pmod(byte(F.lit(i)), F.lit(254)) + 1).cast("string")
     ip = F.concat_ws(".", *[octet(i) for i in (1, 5, 9, 13)])
     body = F.substring(chars, F.lit(1), size - 1)
@@ -100,16 +124,27 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
     # a draw of its own for each character: the stream repeats after 500
     extra = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: drawn(F.substring(name, at.cast("int"), F.lit(1)), F.conv(F.substring(F.sha2(F.concat(F.lit("+"), i.cast("string"), F.lit(":"), seed), 256), 1, 4), 16, 10).cast("bigint")))
     longer = F.concat(F.substring(chars, F.lit(1), at.cast("int")), F.array_join(extra, ""), F.substring(chars, (at + 1).cast("int"), size))
-    return F.when(kind == "ip", ip).when(kind == "card", F.concat(body, check)).when((more > 0) & at.isNotNull(), longer).otherwise(chars)
+
+    # the check digits of an IBAN: the rest, the country and two zeros make a number that is 98 less them modulo 97
+    turned = F.concat(F.substring(chars, F.lit(5), size), F.substring(chars, F.lit(1), F.lit(2)), F.lit("00"))
+
+    def mod97(acc: Column, i: Column) -> Column:
+        c = F.substring(turned, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), F.pmod(acc * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(acc * 100 + F.ascii(c) - 87, F.lit(97)))
+
+    rest = F.aggregate(F.sequence(F.lit(1), size), F.lit(0), mod97)
+    iban = F.concat(F.substring(chars, F.lit(1), F.lit(2)), F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), F.substring(chars, F.lit(5), size))
+    return F.when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", F.concat(body, check)).when((more > 0) & at.isNotNull(), longer).otherwise(chars)
 
 
 def _dressed(kind: Column, entity: Column, real: Column, name: Column) -> Column:
     """A canonical surrogate of ``real`` in the spelling of the string it replaces: its separators and capitals."""
-    at, more = _growth(kind, real), F.length(name) - F.length(real)
+    at, more, full = _growth(kind, real), F.length(name) - F.length(real), name
     grown = at.isNotNull() & (more > 0)
     extra = F.substring(name, (at + 1).cast("int"), more)
     name = F.when(grown, F.concat(F.substring(name, F.lit(1), at.cast("int")), F.substring(name, (at + more + 1).cast("int"), F.length(name)))).otherwise(name)
-    strip = kind.isin("phone", "card", "ssn", "iban")
+    strip, title = kind.isin("phone", "card", "ssn", "iban"), F.when(kind.isin(*PERSONS), _title(entity)).otherwise(F.lit(0))
+    head, entity = F.substring(entity, F.lit(1), title), F.substring(entity, title + 1, F.length(entity))
 
     def one(i: Column) -> Column:
         c = F.substring(entity, i, F.lit(1))
@@ -122,7 +157,7 @@ def _dressed(kind: Column, entity: Column, real: Column, name: Column) -> Column
     longer = F.concat(F.substring(spelled, F.lit(1), put.cast("int")), extra, F.substring(spelled, (put + 1).cast("int"), F.length(entity)))
     spelled = F.when(grown, longer).otherwise(spelled)
     shout = (entity == F.upper(entity)) & (entity != F.lower(entity))
-    return F.when(kind == "ip", name).when(shout, F.upper(spelled)).otherwise(spelled)
+    return F.when(kind.isin("ip", *EXACT), F.when(kind == "ip", name).otherwise(full)).when(shout, F.concat(head, F.upper(spelled))).otherwise(F.concat(head, spelled))
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
@@ -130,45 +165,60 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
 
     Two entities never share a surrogate, and no surrogate is an entity of the corpus:
     whoever collides is drawn anew with the next attempt, all but the smallest of those
-    that share one, until nobody does; from ATTEMPTS on the draws get longer. So entities stay as distinct as they were, over all documents.
+    that share one, until nobody does; from ATTEMPTS on the draws get longer. So entities stay
+    as distinct as they were, over all documents.
     """
-    rows = materialize(entities.select("kind", "name").distinct().withColumn("attempt", F.lit(0)), "pii-names")
+    spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(spread, "kind", "name")  # few bytes, much work
+        return rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("name"), F.col("attempt"), key))
+
+    rows = materialize(drawn(entities.select("kind", "name").distinct().withColumn("attempt", F.lit(0))), "pii-drawn")
     while True:
-        drawn = materialize(rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("name"), F.col("attempt"), key)), "pii-drawn")
-        shared = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("name").alias("first")).where("n > 1")
-        taken = drawn.select("kind", F.col("name").alias("surrogate"), F.lit(True).alias("real"))
-        bad = drawn.join(shared, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left")
+        shared = rows.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("name").alias("first")).where("n > 1")
+        taken = rows.select("kind", F.col("name").alias("surrogate"), F.lit(True).alias("real"))
+        checked = rows.join(shared, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left")
         again = F.coalesce(F.col("real"), F.lit(False)) | F.coalesce(F.col("name") != F.col("first"), F.lit(False))
-        bad = materialize(bad.select("kind", "name", "attempt", "surrogate", again.alias("again")), "pii-checked")
-        left = bad.where("again").limit(1).count()
-        if not left:
-            return bad.select("kind", "name", "surrogate")
-        rows = bad.select("kind", "name", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        checked = materialize(checked.select("kind", "name", "attempt", "surrogate", again.alias("again")), "pii-checked")
+        bad = checked.where("again")
+        if not bad.limit(1).count():
+            discard(rows)
+            return checked.select("kind", "name", "surrogate")
+        more = drawn(bad.select("kind", "name", (F.col("attempt") + 1).alias("attempt")))
+        old, rows = rows, materialize(checked.where("not again").select(*more.columns).unionByName(more), "pii-drawn")
+        discard(old, checked)
+
+
+#: A cheap condition that every text with an entity fulfils.
+HINT = r"[0-9@]|[MFSHГ][\p{L}-]{1,8}\.? \p{Lu}|[A-Fa-f]{32}|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|eyJ|-----BEGIN|://[^\s:@/]+:|[A-Fa-f]::?[A-Fa-f]|[A-Fa-f]{2}-[A-Fa-f]{2}-"
 
 
-def pseudonymize(docs: DataFrame, key: str = "kinfold", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with its entities replaced: ``(doc_id, text, n_entities, kinds)``.
 
-    An entity gets the same surrogate wherever it occurs, in any spelling; different
-    entities get different ones. Texts without an entity come back unchanged, null ones
-    null. Rows that repeat an identifier are each treated by their own text; null
-    identifiers take part; other columns are not read; an empty table stays empty.
+    An entity gets the same surrogate wherever it occurs, in any spelling and under any title of
+    its gender; different entities get different ones. ``key`` is a secret of whoever runs it:
+    with it, and not without, surrogates can be drawn again. Texts without an entity come back
+    unchanged, null ones null. Rows that repeat an identifier are each treated by their own
+    text; null identifiers take part; other columns are not read; an empty table stays empty.
+    Persons are found after a title only.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    tagged = rows.withColumn("tag", F.xxhash64("text"))
-    digit_or_at = F.col("text").rlike(r"[0-9@]|[MFSHГ][\p{L}-]{1,8}\.? \p{Lu}|[0-9A-Fa-f]{32}")  # a cheap necessary condition
-    found = tagged.where(digit_or_at).select("doc_id", "tag", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("pos", "entity"))
-    found = found.withColumn("kind", kind_of(F.col("entity")))
-    found = materialize(found.withColumn("name", canonical(F.col("kind"), F.col("entity"))).distinct(), "pii-found")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
+    may = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    found = rows.where(may).select("doc_id", "tag", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("pos", "entity"))
+    # as a plain expression the kind, a cascade of tests, would be computed for each use
+    found = materialize(found.withColumn("kind", kind_of(F.col("entity"))).distinct(), "pii-entities")
+    found = materialize(found.withColumn("name", canonical(F.col("kind"), F.col("entity"))), "pii-found")
     names = surrogate_table(found, key)
-    spelled = found.join(names, ["kind", "name"]).withColumn("new", _dressed(F.col("kind"), F.col("entity"), F.col("name"), F.col("surrogate")))
-    per = spelled.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("pos", "new", "kind"))).alias("r"))  # as long as a text at most
+    spelled = found.select("kind", "name", "entity").distinct().join(names, ["kind", "name"])
+    spelled = materialize(spelled.select("kind", "entity", _dressed(F.col("kind"), F.col("entity"), F.col("name"), F.col("surrogate")).alias("new")), "pii-spelled")
+    per = found.join(spelled, ["kind", "entity"]).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("pos", "new", "kind"))).alias("r"))  # as long as a text at most
     per = materialize(per.select(F.col("doc_id").alias("d"), F.col("tag").alias("g"), "r"), "pii-replacements")
-    hit = digit_or_at & F.col("text").rlike(PATTERN)
-    with_entities = tagged.where(hit).join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("g")))
-    parts = F.split("text", PATTERN, -1)
+    joined = rows.where(may).join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("g")), "left")
     news = F.concat(F.transform("r", lambda x: x["new"]), F.array(F.lit("")))
-    text = F.array_join(F.zip_with(parts, news, lambda a, b: F.concat(a, b)), "")
-    with_entities = with_entities.select("doc_id", text.alias("text"), F.size("r").cast("bigint").alias("n_entities"), F.array_sort(F.array_distinct(F.transform("r", lambda x: x["kind"]))).alias("kinds"))
-    plain = rows.where(~F.coalesce(hit, F.lit(False))).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
-    return with_entities.unionByName(plain)
+    text = F.array_join(F.zip_with(F.split("text", PATTERN, -1), news, lambda a, b: F.concat(a, b)), "")
+    none = F.array().cast("array<string>")
+    kinds = F.when(F.col("r").isNull(), none).otherwise(F.array_sort(F.array_distinct(F.transform("r", lambda x: x["kind"]))))
+    out = joined.select("doc_id", F.when(F.col("r").isNull(), F.col("text")).otherwise(text).alias("text"), F.when(F.col("r").isNull(), 0).otherwise(F.size("r")).cast("bigint").alias("n_entities"), kinds.alias("kinds"))
+    return out.unionByName(rows.where(~may).select("doc_id", "text", F.lit(0).cast("bigint").alias("n_entities"), none.alias("kinds")))

@@ -363,7 +363,7 @@ def test_surrogates(spark, empty):
     t1 = "Write to Anna.Berg@mail.example.com or +1 (974) 555-3436, card 4845168114407329, ip 10.20.30.40; Mrs. Helen Park"
     t2 = 'anna.berg@mail.example.com and otto@x.org TOKEN = "2ABC3FF2CA8FB1E4C565A0EB63815530A948BDDE" Mr. Paul Stone'
     d = spark.createDataFrame([(1, t1, "", ""), (2, t2, "", ""), (3, "clean text, version 2.0", "", ""), (4, None, "", ""), (None, t2, "", ""), (2, t2, "", "")], DDL)
-    out = pseudonymize(d).collect()
+    out = pseudonymize(d, "key").collect()
     got = {r["doc_id"]: r for r in out}
     assert len(out) == 6 and got[3]["text"] == "clean text, version 2.0" and got[4]["text"] is None
     for t, i in ((t1, 1), (t2, 2)):
@@ -374,4 +374,4 @@ def test_surrogates(spark, empty):
     card = regex.search(r"card (\d{16})", got[1]["text"])[1]
     assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
     assert regex.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1]["text"]) and regex.search("Mrs. [A-Z][a-z]+ [A-Z][a-z]+k", got[1]["text"])
-    assert regex.search('TOKEN = "[0-9A-F]{40}"', got[2]["text"]) and pseudonymize(empty).count() == 0
+    assert regex.search('TOKEN = "[0-9A-F]{40}"', got[2]["text"]) and pseudonymize(empty, "key").count() == 0

@@ -51,6 +51,15 @@ def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
     return df.where(F.col(col).isNotNull()).join(F.broadcast(span)).groupBy(b.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def clipped_histogram(df: DataFrame, col: str, bins: int = 100, p: float = 0.95) -> DataFrame:
+    """The bins that a figure shows whose axis ends at a quantile: (bin, n, start), counted over all rows."""
+    q = quantile(df, col, p).select(F.col("quantile").alias("most"))
+    span = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    start = F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins
+    shown = histogram(df, col, bins).join(F.broadcast(span.join(q))).withColumn("start", F.round(start, 6))  # one row
+    return shown.where("start <= most").select("bin", "n", "start")
+
+
 def kernel_density(df: DataFrame, col: str, points: int = 50) -> DataFrame:
     """Gaussian density with Scott's bandwidth, from the bins of a fine histogram."""
     stats = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"), F.stddev_samp(col).alias("sd"), F.count(col).alias("m"))

@@ -48,7 +48,17 @@ def boxplot_outliers(spark, d):
     return cur.boxplot(T(spark, d, "documents"), "n_chars")
 
 
-@query()
+@query("""WITH s AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi, quantile_cont(n_chars, 0.95) AS most FROM documents),
+    b AS (SELECT CAST(least(floor((n_chars - lo) / ((hi - lo) / 100)), 99) AS BIGINT) AS bin, count(*) AS n FROM documents, s GROUP BY 1)
+    SELECT bin, n, round(lo + bin * (hi - lo) / 100, 6) AS start FROM b, s WHERE lo + bin * (hi - lo) / 100 <= most""")
+def length_histogram_clipped(spark, d):
+    return cur.clipped_histogram(T(spark, d, "documents"), "n_chars")
+
+
+@query("""WITH s AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi, stddev_samp(n_chars) AS sd, count(n_chars) AS m FROM documents),
+    b AS (SELECT CAST(least(floor((n_chars - lo) / ((hi - lo) / 400)), 399) AS BIGINT) AS bin, count(*) AS n FROM documents, s GROUP BY 1),
+    g AS (SELECT CAST(r.i AS INT) AS i, lo + (hi - lo) * r.i / 49 AS x, lo, hi, m, sd * m ^ (-0.2::DOUBLE) AS h FROM s, range(0, 50) AS r(i))
+    SELECT i, round(sum(n * exp(-0.5::DOUBLE * (((x - lo - (hi - lo) * (bin + 0.5::DOUBLE) / 400) / h) ^ 2)) / (h * sqrt(2 * pi())) / m), 9) AS density, round(max(x), 6) AS x FROM g, b GROUP BY 1""")
 def length_density(spark, d):
     return cur.kernel_density(T(spark, d, "documents"), "n_chars")
 
@@ -158,13 +168,15 @@ def kmer_maps(spark, d):
     return km.kmer_maps(cur.curate(T(spark, d, "documents"), "n_chars"), "doc_id", "text", [5, 6])
 
 
-@query("""SELECT d.doc_id AS protein_id, source AS product, CAST(quality AS INT) AS quality, CAST(label AS INT) AS cluster FROM documents d JOIN labels l USING (doc_id)
-    JOIN embeddings e ON e.vec_id = d.doc_id WHERE source IS NOT NULL AND source <> ''""")
+@query("""SELECT d.doc_id AS protein_id, source AS product, CAST(quality AS INT) AS quality, CAST(label AS INT) AS cluster, CAST(length(url) AS INT) AS url, CAST(length(b.text) AS INT) AS item
+    FROM documents d JOIN labels l USING (doc_id) JOIN embeddings e ON e.vec_id = d.doc_id JOIN pages p ON p.page_id = d.doc_id JOIN benchmark b ON b.item_id = d.doc_id WHERE source IS NOT NULL AND source <> ''""")
 def unified_features_inner(spark, d):
     base = T(spark, d, "documents").select(F.col("doc_id").alias("protein_id"), F.col("source").alias("product"))
     one = T(spark, d, "labels").select(F.col("doc_id").alias("protein_id"), "quality")
     two = T(spark, d, "embeddings").select(F.col("vec_id").alias("protein_id"), F.col("label").alias("cluster"))
-    return fs.unified_features(base, [one, two], "protein_id", "product")
+    three = T(spark, d, "pages").select(F.col("page_id").alias("protein_id"), F.length("url").alias("url"))
+    four = T(spark, d, "benchmark").select(F.col("item_id").alias("protein_id"), F.length("text").alias("item"))
+    return fs.unified_features(base, [one, two, three, four], "protein_id", "product")
 
 
 @query("""SELECT doc_id, n_chars, coalesce(CAST(q AS VARCHAR), 'Desconocido') AS quality FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id)""")
@@ -269,6 +281,16 @@ def ortholog_purity(spark, d):
     return purity_entropy(ortholog_fallback(spark, d), "cluster", "vog").drop("entropy")
 
 
+@query(f"""WITH m AS (SELECT * FROM ({_FALLBACK}) WHERE vog <> 'Desconocido/Novel'), g AS (SELECT cluster, vog, count(*) AS n FROM m GROUP BY 1, 2),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY cluster) AS size, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, vog) AS rn FROM g)
+    SELECT cluster AS cluster_id, CAST(max(size) AS BIGINT) AS size, max(vog) FILTER (rn = 1) AS dominant, max(n) AS dominant_n, round(max(n / size), 4) AS purity, count(*) AS distinct_values FROM r GROUP BY 1""")
+def ortholog_purity_annotated(spark, d):
+    """The same of members with a known group alone; without any, no rows."""
+    from kinfold.operators.metrics import purity_entropy
+
+    return purity_entropy(ortholog_fallback(spark, d).where(F.col("vog") != fs.NOVEL), "cluster", "vog").drop("entropy")
+
+
 @query(f"SELECT count(*) AS members, count(*) FILTER (vog <> 'Desconocido/Novel') AS matched FROM ({_FALLBACK})")
 def ortholog_matches(spark, d):
     return ortholog_fallback(spark, d).agg(F.count("*").alias("members"), F.count_if(F.col("vog") != fs.NOVEL).alias("matched"))

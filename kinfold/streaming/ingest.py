@@ -29,8 +29,13 @@ class VersionedTable:
         v = [x for x in self._versions() if before is None or x < before]
         return self.spark.read.parquet(f"{self.path}/v{v[-1]}") if v else None
 
-    def write(self, df: DataFrame, version: int) -> None:
+    def write(self, df: DataFrame, version: int, keep: int = 3) -> None:
+        """Write a version and remove all but the last ``keep``, which readers may still hold."""
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        jvm = self.spark.sparkContext._jvm
+        for old in self._versions()[:-keep]:
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}")
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> VersionedTable:

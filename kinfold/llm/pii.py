@@ -8,8 +8,8 @@ from kinfold.plans.tables import discard, materialize
 
 #: Entity types and what detects them, the more specific first.
 DETECTORS: dict[str, str] = {
-    "password": r"(?<=://[^\s:@/]{1,64}:)[^\s:@/]{1,128}(?=@)",
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "password": r"://[^\s:@/]{1,64}:[^\s:@/]{1,128}@",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----",
     "token": r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{10,250}|sk-[0-9A-Za-z_-]{20,250}|eyJ[0-9A-Za-z_-]{8,2000}\.eyJ[0-9A-Za-z_-]{4,4000}\.[0-9A-Za-z_-]{4,2000})(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,128}(?![\p{L}\p{N}])",
@@ -23,7 +23,9 @@ DETECTORS: dict[str, str] = {
     "person_f": r"(?<![\p{L}])(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа)\.? \p{Lu}[\p{Ll}'-]+(?: \p{Lu}[\p{Ll}'-]+)?",
     "person_m": r"(?<![\p{L}])(?:Mr|Sir|Herr|Monsieur|Señor|Sr|Г-н)\.? \p{Lu}[\p{Ll}'-]+(?: \p{Lu}[\p{Ll}'-]+)?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in DETECTORS.values())
+#: What the first characters of some types are, so that most positions fail one test and not one for each type.
+GROUPS = (("", ("password", "email", "pem")), (r"(?<![\p{L}\p{N}])(?=[0-9A-Za-z:])", ("token", "secret", "mac", "ipv6", "iban")), (r"(?=[0-9+(])", ("ip", "phone", "card", "ssn")), (r"(?=[MFSHГ])", ("person_f", "person_m")))
+PATTERN = "|".join(f"{guard}(?:{'|'.join(f'(?:{DETECTORS[k]})' for k in kinds)})" for guard, kinds in GROUPS)
 
 #: Letters that stand for letters, by script; each keeps its own kind.
 KINDS = {"vowel": "aeiou", "consonant": "bcdfghklmnprstvz", "cyrillic_vowel": "аеиоуя", "cyrillic_consonant": "бвгдзклмнпрст", "greek": "αβγδεικλμνορστυω", "accented": "áéíóúàèâêôäöü", "digit": "0123456789", "upper": "ABCDEFGHJKLMNPQRSTUVWXYZ", "hex": "0123456789abcdef"}
@@ -37,13 +39,12 @@ ATTEMPTS = 8  # draws of an entity's own length; each further one is a character
 PERSONS = ("person_f", "person_m")
 EXACT = ("pem", "password", "token")
 #: What says the kind of a key, and stays.
-KEY_PREFIX = r"^(-----BEGIN [A-Z ]*-----|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|eyJ)"
+KEY_PREFIX = r"^(-----BEGIN [A-Z ]*-----|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|eyJ|://[^:]*:)"
 
 
 def kind_of(entity: Column) -> Column:
-    """The type of a detected string: the first detector that takes it whole. A password is
-    known by what stands before it, and is what no other detector takes."""
-    out = F.lit("password")
+    """The type of a detected string: the first detector that takes it whole."""
+    out = F.lit(None).cast("string")
     for name, p in reversed(DETECTORS.items()):
         out = F.when(entity.rlike(f"^(?:{p})$"), F.lit(name)).otherwise(out)
     return out
@@ -64,7 +65,7 @@ def _title(entity: Column) -> Column:
 def _kept_prefix(kind: Column, name: Column) -> Column:
     """Leading characters that say the type and not the person: country codes, issuer, kind of key."""
     plus = F.when(name.startswith("+"), F.lit(2)).otherwise(F.lit(0))
-    own = F.when(kind.isin("pem", "token"), F.length(F.regexp_extract(name, KEY_PREFIX, 1)))
+    own = F.when(kind.isin(*EXACT), F.length(F.regexp_extract(name, KEY_PREFIX, 1)))
     return own.when(kind == "phone", plus).when(kind == "card", F.lit(1)).when(kind == "iban", F.lit(2)).otherwise(F.lit(0))
 
 
@@ -76,7 +77,7 @@ def _growth(kind: Column, name: Column) -> Column:
     """The number of characters before the place where a surrogate may grow: of a personal name
     before its last letter, of an address at the end of its local part, of a phone number at
     the end. Null for the other types, which have millions of surrogates at any length."""
-    return F.when(kind.isin(*PERSONS), F.length(name) - 1).when(kind == "password", F.length(name)).when(kind == "email", F.instr(name, "@") - 1).when(kind == "phone", F.length(name))
+    return F.when(kind.isin(*PERSONS), F.length(name) - 1).when(kind == "password", F.length(name) - 1).when(kind == "email", F.instr(name, "@") - 1).when(kind == "phone", F.length(name))
 
 
 def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
@@ -91,9 +92,19 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
     """
     seed = F.concat_ws("\x1f", F.lit(key), kind, name, attempt.cast("string"))
     stream = F.concat(*[F.sha2(F.concat(F.lit(f"{i}:"), seed), 512) for i in range(4)])
+    return _let(stream, lambda x: _drawn(kind, name, attempt, seed, x))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _drawn(kind: Column, name: Column, attempt: Column, seed: Column, stream: Column) -> Column:
+    """The surrogate of a canonical entity from its stream of hexadecimal digits."""
     byte = lambda i: F.conv(F.substring(stream, F.pmod(3 * i, F.lit(500)).cast("int") + 1, F.lit(4)), 16, 10).cast("bigint")
     size, prefix = F.length(name), _kept_prefix(kind, name)
-    suffix = F.when(kind == "email", F.length(F.regexp_extract(name, r"(\.[^.]*)$", 1))).when(kind.isin(*PERSONS), F.lit(1)).when(kind == "pem", F.length(F.regexp_extract(name, r"(-----END [A-Z ]*-----)$", 1))).otherwise(F.lit(0))
+    suffix = F.when(kind == "email", F.length(F.regexp_extract(name, r"(\.[^.]*)$", 1))).when(kind.isin(*PERSONS, "password"), F.lit(1)).when(kind == "pem", F.length(F.regexp_extract(name, r"(-----END [A-Z ]*-----)$", 1))).otherwise(F.lit(0))
 
     def drawn(c: Column, n: Column) -> Column:
         new = F.when(kind.isin("secret", "mac", "ipv6") & c.rlike("[0-9a-f]"), _pick(KINDS["hex"], n)).when(kind.isin(*EXACT) & c.rlike("[A-Z]"), _pick(KINDS["upper"], n))
@@ -110,31 +121,34 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
 
     chars = F.array_join(F.transform(F.sequence(F.lit(1), size), swap), "")
     chars = F.when((kind == "token") & name.startswith("eyJ"), F.regexp_replace(chars, r"^([^.]*)\.[^.]{3}", "$1.eyJ")).otherwise(chars)  # both parts are objects
-    octet = lambda i: (F.pmod(byte(F.lit(i)), F.lit(254)) + 1).cast("string")
-    ip = F.concat_ws(".", *[octet(i) for i in (1, 5, 9, 13)])
-    body = F.substring(chars, F.lit(1), size - 1)
-    place = F.sequence(F.lit(1), size - 1)
+    def finish(chars: Column) -> Column:
+        octet = lambda i: (F.pmod(byte(F.lit(i)), F.lit(254)) + 1).cast("string")
+        ip = F.concat_ws(".", *[octet(i) for i in (1, 5, 9, 13)])
+        body = F.substring(chars, F.lit(1), size - 1)
+        place = F.sequence(F.lit(1), size - 1)
+
+        def luhn(acc: Column, i: Column) -> Column:
+            d = F.substring(body, size - i, F.lit(1)).cast("int") * (F.lit(1) + F.pmod(i, F.lit(2)))
+            return acc + F.when(d > 9, d - 9).otherwise(d)
 
-    def luhn(acc: Column, i: Column) -> Column:
-        d = F.substring(body, size - i, F.lit(1)).cast("int") * (F.lit(1) + F.pmod(i, F.lit(2)))
-        return acc + F.when(d > 9, d - 9).otherwise(d)
+        check = F.pmod(F.lit(10) - F.pmod(F.aggregate(place, F.lit(0), luhn), F.lit(10)), F.lit(10)).cast("string")
+        at, more = _growth(kind, name), attempt - ATTEMPTS + 1
+        # a draw of its own for each character: the stream repeats after 500
+        extra = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: drawn(F.substring(name, at.cast("int"), F.lit(1)), F.conv(F.substring(F.sha2(F.concat(F.lit("+"), i.cast("string"), F.lit(":"), seed), 256), 1, 4), 16, 10).cast("bigint")))
+        longer = F.concat(F.substring(chars, F.lit(1), at.cast("int")), F.array_join(extra, ""), F.substring(chars, (at + 1).cast("int"), size))
 
-    check = F.pmod(F.lit(10) - F.pmod(F.aggregate(place, F.lit(0), luhn), F.lit(10)), F.lit(10)).cast("string")
-    at, more = _growth(kind, name), attempt - ATTEMPTS + 1
-    # a draw of its own for each character: the stream repeats after 500
-    extra = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: drawn(F.substring(name, at.cast("int"), F.lit(1)), F.conv(F.substring(F.sha2(F.concat(F.lit("+"), i.cast("string"), F.lit(":"), seed), 256), 1, 4), 16, 10).cast("bigint")))
-    longer = F.concat(F.substring(chars, F.lit(1), at.cast("int")), F.array_join(extra, ""), F.substring(chars, (at + 1).cast("int"), size))
+        # the check digits of an IBAN: the rest, the country and two zeros make a number that is 98 less them modulo 97
+        turned = F.concat(F.substring(chars, F.lit(5), size), F.substring(chars, F.lit(1), F.lit(2)), F.lit("00"))
 
-    # the check digits of an IBAN: the rest, the country and two zeros make a number that is 98 less them modulo 97
-    turned = F.concat(F.substring(chars, F.lit(5), size), F.substring(chars, F.lit(1), F.lit(2)), F.lit("00"))
+        def mod97(acc: Column, i: Column) -> Column:
+            c = F.substring(turned, i, F.lit(1))
+            return F.when(c.rlike("[0-9]"), F.pmod(acc * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(acc * 100 + F.ascii(c) - 87, F.lit(97)))
 
-    def mod97(acc: Column, i: Column) -> Column:
-        c = F.substring(turned, i, F.lit(1))
-        return F.when(c.rlike("[0-9]"), F.pmod(acc * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(acc * 100 + F.ascii(c) - 87, F.lit(97)))
+        rest = F.aggregate(F.sequence(F.lit(1), size), F.lit(0), mod97)
+        iban = F.concat(F.substring(chars, F.lit(1), F.lit(2)), F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), F.substring(chars, F.lit(5), size))
+        return F.when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", F.concat(body, check)).when((more > 0) & at.isNotNull(), longer).otherwise(chars)
 
-    rest = F.aggregate(F.sequence(F.lit(1), size), F.lit(0), mod97)
-    iban = F.concat(F.substring(chars, F.lit(1), F.lit(2)), F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), F.substring(chars, F.lit(5), size))
-    return F.when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", F.concat(body, check)).when((more > 0) & at.isNotNull(), longer).otherwise(chars)
+    return _let(chars, finish)
 
 
 def _dressed(kind: Column, entity: Column, real: Column, name: Column) -> Column:
@@ -190,8 +204,9 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         discard(old, checked)
 
 
-#: A cheap condition that every text with an entity fulfils.
-HINT = r"[0-9@]|[MFSHГ][\p{L}-]{1,8}\.? \p{Lu}|[A-Fa-f]{32}|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|eyJ|-----BEGIN|://[^\s:@/]+:|[A-Fa-f]::?[A-Fa-f]|[A-Fa-f]{2}-[A-Fa-f]{2}-"
+#: Cheap conditions of which every text with an entity fulfils one: a pattern, or a literal that is in it.
+HINT = r"[0-9@]|[A-Fa-f]{8}|[A-Fa-f]{2}[:-][A-Fa-f]{2}[:-]"
+LITERALS = ("://", "::", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "eyJ", "Mr", "Ms", "Miss", "Mme", "Madame", "Monsieur", "Frau", "Herr", "Señor", "Sr", "Sir", "Г-")
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +220,10 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     Persons are found after a title only.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
-    may = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
+    may = F.col("text").rlike(HINT)
+    for literal in LITERALS:
+        may = may | F.contains("text", F.lit(literal))
+    may = F.coalesce(may, F.lit(False))
     found = rows.where(may).select("doc_id", "tag", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("pos", "entity"))
     # as a plain expression the kind, a cascade of tests, would be computed for each use
     found = materialize(found.withColumn("kind", kind_of(F.col("entity"))).distinct(), "pii-entities")

@@ -9,11 +9,13 @@ from kinfold.llm.exact_dedup import patricia_owners
 from kinfold.llm.language_id import fit_filters, identify_languages
 from kinfold.llm.line_dedup import dedup_lines
 from kinfold.llm.mixing import mix_sources
+from kinfold.llm.packing import pack_documents
 from kinfold.llm.pii import pseudonymize
 from kinfold.llm.quality_mil import fit_quality, score_quality
 from kinfold.llm.quality_rules import ledger, passes
 from kinfold.llm.simhash import simhash_components
 from kinfold.llm.substring_dedup import remove_repeats
+from kinfold.llm.whitening import whitened_components
 from kinfold.plans.tables import table
 
 
@@ -76,7 +78,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality, op4_simhash, op5_line_dedup, op6_quality_rules, op7_pii, op8_mixing, op9_exact_dedup, op10_substring_dedup)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_spec())
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_quality, op4_simhash, op5_line_dedup, op6_quality_rules, op7_pii, op8_mixing, op9_exact_dedup, op10_substring_dedup, op11_packing, op12_whitening)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 

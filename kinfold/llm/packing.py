@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from array import array
 from collections import Counter
@@ -15,23 +16,23 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from kinfold.llm.arrow import packed, schema_of, spark_ddl, worker_cache
-from kinfold.llm.bpe import WHITE, WordTokenizer
+from kinfold.llm.bpe import WHITE, WordTokenizer, byte_alphabet
 from kinfold.plans.tables import materialize, numbered
 
 _PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part_crc32", pa.list_(pa.int64())), ("ids", pa.list_(pa.int32()))]
 
 
 class LibraryTokens:
-    """Identifiers of texts by the tokenizers library, which sees every distinct word of a batch once.
+    """Identifiers of texts by the tokenizers library, whose model sees every distinct piece of a batch once.
 
-    That holds for files whose steps treat words alone (those ``WordTokenizer`` knows);
-    with any other file the library gets whole texts.
+    That holds for files whose steps treat words alone (those ``WordTokenizer`` knows), whose
+    words are normalised and split here. With any other file, and for words with added tokens, the library does it all.
     """
 
     #: Characters of a slice of a long text, and of a batch of short ones.
-    SLICE = 1 << 21
-    #: Words kept between batches.
-    CACHE = 500_000
+    SLICE = 1 << 20
+    #: Words, and pieces, kept between batches.
+    CACHE = 250_000
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -40,23 +41,38 @@ class LibraryTokens:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.alone = self._words_alone(json.loads(spec))
+        parsed = json.loads(spec)
+        added = [t["content"] for t in parsed.get("added_tokens", [])]
+        try:
+            self.split = regex.compile(WordTokenizer._pattern(parsed))
+        except ValueError:
+            self.split = None
+        self.alone = self.split is not None and not any(regex.search(f"[{WHITE}]", t) for t in added)
+        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.words = regex.compile(f"[^{WHITE}]+")
         self.gap = regex.compile(f"[{WHITE}]")
         self.odd = regex.compile("[\x1c-\x1f]")
+        self.letters = byte_alphabet()
         self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def _words_alone(spec: dict) -> bool:
-        try:
-            WordTokenizer._pattern(spec)
-        except ValueError:
-            return False
-        return not any(regex.search(f"[{WHITE}]", t["content"]) for t in spec.get("added_tokens", []))
+        self.pieces: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        symbols = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+        got = self.pieces[piece] = array("I", [t.id for t in self.library.model.tokenize(symbols)]).tobytes()
+        return got
+
+    def _word(self, word: str, marked: bool) -> bytes:
+        if marked and self.special.search(word):
+            return self._ask([word])[0]
+        text = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        known = self.pieces.get
+        if text.isalpha():
+            return known(text) or self._piece(text)
+        return b"".join([known(p) or self._piece(p) for p in self.split.findall(text)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Identifiers of each text as little-endian unsigned 32-bit integers."""
         if not self.alone:
@@ -65,12 +81,17 @@ class LibraryTokens:
         seen = set().union(*split)
         if len(self.known) > self.CACHE:
             self.known = {w: self.known[w] for w in seen if w in self.known}
-        missing = list(seen.difference(self.known))
-        self.known.update(zip(missing, self._ask(missing)))
+        if len(self.pieces) > self.CACHE:
+            self.pieces = {}
+        marked = self.special is not None and any(self.special.search(t) for t in texts)
+        missing = seen.difference(self.known)
+        for w in missing:
+            self.known[w] = self._word(w, marked)
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
         for w in missing:
             if len(w) > 64:
                 del self.known[w]
+                self.pieces.pop(w.lower(), None)
         return out
 
     def blocks(self, text: str) -> Iterator[bytes]:

@@ -13,7 +13,14 @@ NOVEL = "Desconocido/Novel"
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One row for each key: the last in the given order."""
+    """One row for each key: the last in the given order, in which null comes first.
+
+    Where the order is given by columns, the last one is found on the map side, before anything is shuffled.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    if rest and all(isinstance(c, str) for c in order):
+        last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last"))
+        return last.select(*[F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in df.columns])
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
@@ -25,11 +32,12 @@ def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def unified_features(base: DataFrame, spaces: Sequence[DataFrame], key: str, label: str) -> DataFrame:
-    """Labelled rows that have a vector in every space; each space counts a key once."""
+    """Labelled rows that have a vector in every space. A space counts a key once, with its greatest
+    row in the order of its columns, so that reruns agree."""
     out = base.where(nonempty(F.col(label)))
     for s in spaces:
         v = [c for c in s.columns if c != key]
-        out = out.join(s.dropna(subset=v).dropDuplicates([key]), key)
+        out = out.join(last_wins(s.dropna(subset=v), [key], v), key)
     return out
 
 
@@ -42,12 +50,13 @@ def with_annotation(vectors: DataFrame, notes: DataFrame, key: str, value: str,
 
 def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a resumed run still has to do."""
-    return work.join(done.select(key).distinct(), key, "left_anti")
+    return work.join(done.select(key), key, "left_anti")
 
 
 def lookup(base: DataFrame, table: DataFrame, key: str, value: str, default=-1) -> DataFrame:
-    """Left lookup with a default."""
-    return base.join(table.select(key, value).dropDuplicates([key]), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    """Left lookup with a default; of several values of a key the greatest counts."""
+    one = table.groupBy(key).agg(F.max(value).alias(value))
+    return base.join(one, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
 def fallback_lookup(members: DataFrame, index: DataFrame, key: str, index_key: str, value: str, default: str = NOVEL) -> DataFrame:

@@ -8,7 +8,7 @@ import unicodedata
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -22,6 +22,20 @@ from kinfold.plans.tables import materialize, numbered
 _PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part_crc32", pa.list_(pa.int64())), ("ids", pa.list_(pa.int32()))]
 
 
+class Known(dict):
+    """Identifiers of words or pieces as bytes; one that is missing is asked for, and kept if it is short."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.ask(key)
+        if len(key) <= 64:
+            self[key] = got
+        return got
+
+
 class LibraryTokens:
     """Identifiers of texts by the tokenizers library, whose model sees every distinct piece of a batch once.
 
@@ -32,7 +46,7 @@ class LibraryTokens:
     #: Characters of a slice of a long text, and of a batch of short ones.
     SLICE = 1 << 20
     #: Words, and pieces, kept between batches.
-    CACHE = 250_000
+    CACHE = 400_000
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -49,50 +63,38 @@ class LibraryTokens:
             self.split = None
         self.alone = self.split is not None and not any(regex.search(f"[{WHITE}]", t) for t in added)
         self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
+        #: What all added tokens begin with; it may be empty.
+        self.hint = os.path.commonprefix(added)
         self.words = regex.compile(f"[^{WHITE}]+")
         self.gap = regex.compile(f"[{WHITE}]")
         self.odd = regex.compile("[\x1c-\x1f]")
         self.letters = byte_alphabet()
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Known(self._word), Known(self._piece)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> bytes:
         symbols = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
-        got = self.pieces[piece] = array("I", [t.id for t in self.library.model.tokenize(symbols)]).tobytes()
-        return got
+        return array("I", [t.id for t in self.library.model.tokenize(symbols)]).tobytes()
 
-    def _word(self, word: str, marked: bool) -> bytes:
-        if marked and self.special.search(word):
+    def _word(self, word: str) -> bytes:
+        if self.special is not None and self.hint in word and self.special.search(word):
             return self._ask([word])[0]
         text = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        known = self.pieces.get
         if text.isalpha():
-            return known(text) or self._piece(text)
-        return b"".join([known(p) or self._piece(p) for p in self.split.findall(text)])
+            return self.pieces[text]
+        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Identifiers of each text as little-endian unsigned 32-bit integers."""
         if not self.alone:
             return self._ask(texts)
-        split = [self.words.findall(t) if self.odd.search(t) else t.split() for t in texts]
-        seen = set().union(*split)
-        if len(self.known) > self.CACHE:
-            self.known = {w: self.known[w] for w in seen if w in self.known}
-        if len(self.pieces) > self.CACHE:
-            self.pieces = {}
-        marked = self.special is not None and any(self.special.search(t) for t in texts)
-        missing = seen.difference(self.known)
-        for w in missing:
-            self.known[w] = self._word(w, marked)
-        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
-        for w in missing:
-            if len(w) > 64:
-                del self.known[w]
-                self.pieces.pop(w.lower(), None)
-        return out
+        for held in (self.known, self.pieces):
+            if len(held) > self.CACHE:
+                held.clear()
+        words = (self.words.findall(t) if self.odd.search(t) else t.split() for t in texts)
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
     def blocks(self, text: str) -> Iterator[bytes]:
         """Identifiers of one text, slice by slice; a slice ends before white space."""

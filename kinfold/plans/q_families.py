@@ -11,7 +11,7 @@ from kinfold.operators.ivf import approximate_knn, measured_recall
 from kinfold.operators.knn import knn, knn_graph, mutual
 from kinfold.operators.leiden import PRESETS as LEIDEN, leiden
 from kinfold.plans.registry import query
-from kinfold.plans.tables import table as T
+from kinfold.plans.tables import materialize, table as T
 
 _ED = "(SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
@@ -232,6 +232,17 @@ for _p in LEIDEN:
     _leiden(_p)
 
 
+@query(f"{_GQ} SELECT round(sum(CASE WHEN ls = ld THEN w ELSE 0 END) - 0.05::DOUBLE * (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)), 6) AS of_labels, true AS reached FROM e")
+def leiden_in_blocks(spark, d):
+    """The quality of the given labels, and whether communities found in blocks of a quarter of the graph reach it."""
+    e = E(spark, d)
+    g = materialize(knn_graph(e, "id", "vec", 15), "knn-graph")
+    found = leiden(g, e.select("id"), *LEIDEN["cpm_raw"], block=max(2, e.count() // 4), rounds=2, passes=1)
+    of = mt.partition_quality(g, e.select("id", "label"), *LEIDEN["cpm_raw"]).withColumnRenamed("quality", "of_labels")
+    best = mt.partition_quality(g, found, *LEIDEN["cpm_raw"])
+    return of.join(F.broadcast(best)).select("of_labels", (F.col("quality") >= F.col("of_labels")).alias("reached"))  # one row each
+
+
 @query()
 def hdbscan_labels(spark, d):
     return hdbscan(E(spark, d), "id", "vec")

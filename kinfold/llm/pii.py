@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinfold.plans.tables import discard, materialize
 
+#: What follows a title: up to four capitalised words, with hyphens and apostrophes.
+NAME = r"\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,3}"
 #: Entity types and what detects them, the more specific first.
 DETECTORS: dict[str, str] = {
     "password": r"://[^\s:@/]{1,64}:[^\s:@/]{1,128}@",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{1,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----",
+    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+){0,400}+-----END [A-Z ]{0,30}PRIVATE KEY-----",
     "token": r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|xox[abprs]-[0-9A-Za-z-]{10,250}|sk-[0-9A-Za-z_-]{20,250}|eyJ[0-9A-Za-z_-]{8,2000}\.eyJ[0-9A-Za-z_-]{4,4000}\.[0-9A-Za-z_-]{4,2000})(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,128}(?![\p{L}\p{N}])",
     "mac": r"(?<![\p{L}\p{N}:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}:-])",
@@ -20,11 +22,12 @@ DETECTORS: dict[str, str] = {
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{N}])|(?<![\p{N}])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![\p{N}])|(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
-    "person_f": r"(?<![\p{L}])(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа)\.? \p{Lu}[\p{Ll}'-]+(?: \p{Lu}[\p{Ll}'-]+)?",
-    "person_m": r"(?<![\p{L}])(?:Mr|Sir|Herr|Monsieur|Señor|Sr|Г-н)\.? \p{Lu}[\p{Ll}'-]+(?: \p{Lu}[\p{Ll}'-]+)?",
+    "person_f": r"(?<![\p{L}])(?:Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Madame|MADAME|Mme|MME|Señora|SEÑORA|Sra|SRA|Г-жа|Г-ЖА)" + NAME,
+    "person_m": r"(?<![\p{L}])(?:Mr|MR|Sir|SIR|Herr|HERR|Monsieur|MONSIEUR|Señor|SEÑOR|Sr|SR|Г-н|Г-Н)" + NAME,
+    "person_n": r"(?<![\p{L}])(?:Dr|DR|Prof|PROF)" + NAME,
 }
 #: What the first characters of some types are, so that most positions fail one test and not one for each type.
-GROUPS = (("", ("password", "email", "pem")), (r"(?<![\p{L}\p{N}])(?=[0-9A-Za-z:])", ("token", "secret", "mac", "ipv6", "iban")), (r"(?=[0-9+(])", ("ip", "phone", "card", "ssn")), (r"(?=[MFSHГ])", ("person_f", "person_m")))
+GROUPS = (("", ("password", "email", "pem")), (r"(?<![\p{L}\p{N}])(?=[0-9A-Za-z:])", ("token", "secret", "mac", "ipv6", "iban")), (r"(?=[0-9+(])", ("ip", "phone", "card", "ssn")), (r"(?=[MFSHГDP])", ("person_f", "person_m", "person_n")))
 PATTERN = "|".join(f"{guard}(?:{'|'.join(f'(?:{DETECTORS[k]})' for k in kinds)})" for guard, kinds in GROUPS)
 
 #: Letters that stand for letters, by script; each keeps its own kind.
@@ -34,9 +37,10 @@ SCRIPTS = {"Han": "安白成大方高光海河华金林明南平青山石水松
 _MEMBERS = {"vowel": "aeiouy", "consonant": "bcdfghjklmnpqrstvwxz", "cyrillic_vowel": "аеёиоуыэюя", "cyrillic_consonant": "бвгджзйклмнпрстфхцчшщьъ", "greek": "αβγδεζηθικλμνξοπρσςτυφχψω", "digit": "0123456789"}
 SEPARATORS = r"[ ().-]"
 ATTEMPTS = 8  # draws of an entity's own length; each further one is a character longer, where its type allows
+MOST_ATTEMPTS = 64  # then a type has run out of surrogates, which is an error
 
 
-PERSONS = ("person_f", "person_m")
+PERSONS = ("person_f", "person_m", "person_n")
 EXACT = ("pem", "password", "token")
 #: What says the kind of a key, and stays.
 KEY_PREFIX = r"^(-----BEGIN [A-Z ]*-----|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|eyJ|://[^:]*:)"
@@ -75,9 +79,20 @@ def _pick(chars: str, n: Column) -> Column:
 
 def _growth(kind: Column, name: Column) -> Column:
     """The number of characters before the place where a surrogate may grow: of a personal name
-    before its last letter, of an address at the end of its local part, of a phone number at
-    the end. Null for the other types, which have millions of surrogates at any length."""
-    return F.when(kind.isin(*PERSONS), F.length(name) - 1).when(kind == "password", F.length(name) - 1).when(kind == "email", F.instr(name, "@") - 1).when(kind == "phone", F.length(name))
+    before its last letter, of an address at the end of its local part, of a phone number or key at
+    the end, of a PEM block before its end mark. Null for the other types: those have millions of surrogates at any
+    length, but for short forms of IPv6, which give way to full ones."""
+    end = F.length(F.regexp_extract(name, r"(-----END [A-Z ]*-----)$", 1))
+    own = F.when(kind.isin(*PERSONS), F.length(name) - 1).when(kind == "password", F.length(name) - 1).when(kind == "email", F.instr(name, "@") - 1)
+    return own.when(kind.isin("phone", "token"), F.length(name)).when(kind == "pem", F.length(name) - end)
+
+
+def _beyond(kind: Column, name: Column, attempt: Column) -> Column:
+    """How many characters an attempt is longer than its entity, where that may grow: a key or password without a
+    letter or digit to replace grows from the first attempt."""
+    free = F.substring(name, _kept_prefix(kind, name) + 1, F.length(name))
+    fixed = kind.isin(*EXACT) & ~F.regexp_replace(free, "-----END [A-Z ]*-----$", "").rlike(r"[\p{L}\p{N}]")
+    return F.when(fixed, attempt + 1).otherwise(attempt - ATTEMPTS + 1)
 
 
 def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
@@ -87,8 +102,8 @@ def surrogate(kind: Column, name: Column, attempt: Column, key: str) -> Column:
     hexadecimal, vowels vowels and consonants consonants of the same script. The last
     letter of a personal name stays, and so does its gender's ending, as do
     country code, issuer digit, kind of key and top-level domain. Addresses keep valid octets, cards
-    and account numbers get their check digits. From the attempt ATTEMPTS on, a name, address or phone number grows
-    by characters of the kind of its last free one.
+    and account numbers get their check digits. From the attempt ATTEMPTS on, a name, address, phone number or key grows
+    (a key or password without a letter or digit at once), and short forms of IPv6 become full ones.
     """
     seed = F.concat_ws("\x1f", F.lit(key), kind, name, attempt.cast("string"))
     stream = F.concat(*[F.sha2(F.concat(F.lit(f"{i}:"), seed), 512) for i in range(4)])
@@ -132,9 +147,14 @@ def _drawn(kind: Column, name: Column, attempt: Column, seed: Column, stream: Co
             return acc + F.when(d > 9, d - 9).otherwise(d)
 
         check = F.pmod(F.lit(10) - F.pmod(F.aggregate(place, F.lit(0), luhn), F.lit(10)), F.lit(10)).cast("string")
-        at, more = _growth(kind, name), attempt - ATTEMPTS + 1
+        at, more = _growth(kind, name), _beyond(kind, name, attempt)
         # a draw of its own for each character: the stream repeats after 500
-        extra = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: drawn(F.substring(name, at.cast("int"), F.lit(1)), F.conv(F.substring(F.sha2(F.concat(F.lit("+"), i.cast("string"), F.lit(":"), seed), 256), 1, 4), 16, 10).cast("bigint")))
+        def added(i: Column) -> Column:
+            n = F.conv(F.substring(F.sha2(F.concat(F.lit("+"), i.cast("string"), F.lit(":"), seed), 256), 1, 4), 16, 10).cast("bigint")
+            return F.when(kind.isin("token", "pem"), _pick(KINDS["upper"], n)).otherwise(drawn(F.substring(name, at.cast("int"), F.lit(1)), n))
+
+        extra = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), added)
+        groups = F.concat_ws(":", *[F.substring(stream, 4 * i + 1, 4) for i in range(8)])
         longer = F.concat(F.substring(chars, F.lit(1), at.cast("int")), F.array_join(extra, ""), F.substring(chars, (at + 1).cast("int"), size))
 
         # the check digits of an IBAN: the rest, the country and two zeros make a number that is 98 less them modulo 97
@@ -146,7 +166,7 @@ def _drawn(kind: Column, name: Column, attempt: Column, seed: Column, stream: Co
 
         rest = F.aggregate(F.sequence(F.lit(1), size), F.lit(0), mod97)
         iban = F.concat(F.substring(chars, F.lit(1), F.lit(2)), F.lpad((F.lit(98) - rest).cast("string"), 2, "0"), F.substring(chars, F.lit(5), size))
-        return F.when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", F.concat(body, check)).when((more > 0) & at.isNotNull(), longer).otherwise(chars)
+        return F.when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "card", F.concat(body, check)).when((kind == "ipv6") & (more > 0), groups).when((more > 0) & at.isNotNull(), longer).otherwise(chars)
 
     return _let(chars, finish)
 
@@ -171,7 +191,8 @@ def _dressed(kind: Column, entity: Column, real: Column, name: Column) -> Column
     longer = F.concat(F.substring(spelled, F.lit(1), put.cast("int")), extra, F.substring(spelled, (put + 1).cast("int"), F.length(entity)))
     spelled = F.when(grown, longer).otherwise(spelled)
     shout = (entity == F.upper(entity)) & (entity != F.lower(entity))
-    return F.when(kind.isin("ip", *EXACT), F.when(kind == "ip", name).otherwise(full)).when(shout, F.concat(head, F.upper(spelled))).otherwise(F.concat(head, spelled))
+    other = (kind == "ipv6") & (F.length(full) != F.length(real))
+    return F.when(kind.isin("ip", *EXACT) | other, full).when(shout, F.concat(head, F.upper(spelled))).otherwise(F.concat(head, spelled))
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
@@ -180,7 +201,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     Two entities never share a surrogate, and no surrogate is an entity of the corpus:
     whoever collides is drawn anew with the next attempt, all but the smallest of those
     that share one, until nobody does; from ATTEMPTS on the draws get longer. So entities stay
-    as distinct as they were, over all documents.
+    as distinct as they were, over all documents. A type that has run out of surrogates after MOST_ATTEMPTS is an error.
     """
     spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -189,7 +210,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         return rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("name"), F.col("attempt"), key))
 
     rows = materialize(drawn(entities.select("kind", "name").distinct().withColumn("attempt", F.lit(0))), "pii-drawn")
-    while True:
+    for _ in range(MOST_ATTEMPTS):
         shared = rows.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("name").alias("first")).where("n > 1")
         taken = rows.select("kind", F.col("name").alias("surrogate"), F.lit(True).alias("real"))
         checked = rows.join(shared, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left")
@@ -202,11 +223,12 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         more = drawn(bad.select("kind", "name", (F.col("attempt") + 1).alias("attempt")))
         old, rows = rows, materialize(checked.where("not again").select(*more.columns).unionByName(more), "pii-drawn")
         discard(old, checked)
+    raise ValueError(f"no free surrogates after {MOST_ATTEMPTS} attempts, for example of the type {rows.groupBy('kind').agg(F.max('attempt').alias('a')).orderBy(F.desc('a')).first()['kind']}")
 
 
 #: Cheap conditions of which every text with an entity fulfils one: a pattern, or a literal that is in it.
 HINT = r"[0-9@]|[A-Fa-f]{8}|[A-Fa-f]{2}[:-][A-Fa-f]{2}[:-]"
-LITERALS = ("://", "::", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "eyJ", "Mr", "Ms", "Miss", "Mme", "Madame", "Monsieur", "Frau", "Herr", "Señor", "Sr", "Sir", "Г-")
+LITERALS = ("://", "::", "-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "eyJ", "Mr", "MR", "Ms", "MS", "Miss", "MISS", "Mme", "MME", "Madame", "MADAME", "Monsieur", "MONSIEUR", "Frau", "FRAU", "Herr", "HERR", "Señor", "SEÑOR", "Sr", "SR", "Sir", "SIR", "Г-", "Dr", "DR", "Prof", "PROF")
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -165,7 +165,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trainable: Column, sample_do
 
     The fit is on a sample: at most ``sample_docs`` labelled identifiers in the order of a hash
     of them, of these as many as together have at most ``sample_passages`` passages (56 MB of
-    features); each document is read whole. Null labels and identifiers with two different
+    features); each document is read whole, and one that would be more than a tenth of all passages is left out, so that long
+    texts can't crowd out the others. Null labels and identifiers with two different
     labels are left out; of texts that share an identifier the one of least hash counts. With
     no labelled row, or only one label, scores stay near the untrained model's or that label.
     """
@@ -175,6 +176,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trainable: Column, sample_do
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), tag).join(F.broadcast(known), "key")
     size = F.greatest(F.ceil(F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)) / PASSAGE_WORDS), F.lit(1))
     sizes = rows.select("key", F.struct("tag", size.alias("n")).alias("s")).groupBy("key").agg(F.min("s").alias("s"))  # sample_docs rows
+    sizes = sizes.where(F.col("s.n") <= max(1, sample_passages // 10))
     total = F.sum("s.n").over(Window.orderBy(F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0))
     taken = sizes.withColumn("total", total).where(F.col("total") <= sample_passages).select("key", F.col("s.tag").alias("tag"))
     rows = rows.join(F.broadcast(taken), ["key", "tag"]).dropDuplicates(["key"]).select(F.col("key").cast("bigint").alias("key"), "label", "text")

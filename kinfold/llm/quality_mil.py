@@ -138,14 +138,15 @@ class GatedMIL:
         return self
 
     def scores(self, texts: Sequence[str | None]) -> list[tuple[float, int, int]]:
-        """(score, predicted, passages) of each whole text."""
-        bags = [passages(t) for t in texts]
+        """(score, predicted, passages) of each whole text; the words of a few million characters are held at a time."""
         out = []
-        for a, b in packed([len(x) for x in bags], 1 << 13):
-            x = encode([p for bag in bags[a:b] for p in bag])
-            starts = np.cumsum([0, *(len(bag) for bag in bags[a : b - 1])])
-            p, _ = self.forward(x, starts)
-            out += [(float(v), int(v >= 0.5), len(bag)) for v, bag in zip(p, bags[a:b])]
+        for i, j in packed([len(t or "") for t in texts], 1 << 22):
+            bags = [passages(t) for t in texts[i:j]]
+            for a, b in packed([len(x) for x in bags], 1 << 13):
+                x = encode([p for bag in bags[a:b] for p in bag])
+                starts = np.cumsum([0, *(len(bag) for bag in bags[a : b - 1])])
+                p, _ = self.forward(x, starts)
+                out += [(float(v), int(v >= 0.5), len(bag)) for v, bag in zip(p, bags[a:b])]
         return out
 
 

@@ -181,7 +181,9 @@ def core_distance(spark, d):
     return core_distances(E(spark, d), "id", "vec", 20).withColumn("core", F.round("core", 6))
 
 
-@query(f"""WITH k AS MATERIALIZED ({_KNN[1:-1] % 20}), c AS (SELECT src AS id, d AS core FROM k WHERE rank = 20) SELECT src, dst, round(greatest(x.core, y.core, d), 6) AS reach FROM k JOIN c x ON x.id = src JOIN c y ON y.id = dst""")
+@query(f"""WITH e AS MATERIALIZED {_ED}, k AS MATERIALIZED (SELECT src, dst, d, row_number() OVER (PARTITION BY src ORDER BY round(d, 12), dst) AS rank
+      FROM (SELECT a.id AS src, b.id AS dst, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.id <> b.id) QUALIFY rank <= 20),
+    c AS (SELECT src AS id, d AS core FROM k WHERE rank = 20) SELECT src, dst, round(greatest(x.core, y.core, d), 6) AS reach FROM k JOIN c x ON x.id = src JOIN c y ON y.id = dst""")
 def mutual_reachability(spark, d):
     k = knn(E(spark, d), "id", "vec", 20)
     core = k.where("rank = 20").select(F.col("src").alias("id"), F.col("d").alias("core"))
@@ -248,6 +250,14 @@ def hdbscan_labels(spark, d):
     return hdbscan(E(spark, d), "id", "vec")
 
 
+@query("SELECT count(*) AS points, count(*) AS agree FROM embeddings")
+def hdbscan_in_blocks(spark, d):
+    """On how many points the labels found by joins, over blocks of a quarter of the rows, agree with those of one block."""
+    e = E(spark, d)
+    one, many = hdbscan(e, "id", "vec"), hdbscan(e, "id", "vec", block=max(64, e.count() // 4))
+    return one.join(many.withColumnRenamed("label", "other"), "id", "full").agg(F.count("*").alias("points"), F.count_if(F.col("label") == F.col("other")).alias("agree"))
+
+
 @query()
 def umap_2d(spark, d):
     return em.umap(E(spark, d), "id", "vec", 2)

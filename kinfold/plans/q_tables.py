@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from kinfold.functions.sequences import accession_path, base_id, hypothetical, nonempty, strip, text_between
 from kinfold.operators import curation as cur, features as fs, kmers as km
 from kinfold.plans.registry import query
-from kinfold.plans.tables import table as T
-from kinfold.sources import formats as fmt
+from kinfold.plans.tables import shared_dir, table as T
+from kinfold.sources import formats as fmt, records as rec
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars BETWEEN 30 AND 1175")
@@ -163,6 +163,25 @@ def kmer_vocabulary(spark, d):
     return km.vocabulary(km.kmer_totals(T(spark, d, "documents"), "text", [3]))
 
 
+_SEEN = """(SELECT kmer, CAST(row_number() OVER (ORDER BY id, pos) - 1 AS BIGINT) AS col FROM (SELECT substr(text, CAST(i AS BIGINT), 4) AS kmer, arg_min(doc_id, doc_id * 1000000 + i) AS id, min(doc_id * 1000000 + i) - arg_min(doc_id, doc_id * 1000000 + i) * 1000000 AS pos
+    FROM documents, range(1, length(text) - 2) AS r(i) WHERE n_chars BETWEEN 30 AND 1175 GROUP BY 1))"""
+
+
+@query(f"SELECT kmer, col FROM {_SEEN}")
+def kmer_first_seen(spark, d):
+    """Columns in the order of first appearance, which a dictionary that grows row by row would give."""
+    return km.first_seen_vocabulary(cur.curate(T(spark, d, "documents"), "n_chars"), "doc_id", "text", 4)
+
+
+@query(f"""WITH c AS (SELECT doc_id AS id, substr(text, CAST(i AS BIGINT), 4) AS kmer, count(*) / max(length(text) - 3) AS freq FROM documents, range(1, length(text) - 2) AS r(i) WHERE n_chars BETWEEN 30 AND 1175 GROUP BY 1, 2)
+    SELECT id, CAST(4 AS INT) AS k, col, round(freq, 9) AS freq FROM c JOIN {_SEEN} USING (kmer)""")
+def kmer_sparse_matrix(spark, d):
+    """The matrix in long form, over those columns."""
+    docs = cur.curate(T(spark, d, "documents"), "n_chars")
+    vocab = km.first_seen_vocabulary(docs, "doc_id", "text", 4).withColumn("k", F.lit(4))
+    return km.sparse_rows(km.kmer_counts(docs, "doc_id", "text", [4]), vocab).withColumn("freq", F.round("freq", 9))
+
+
 @query()
 def kmer_maps(spark, d):
     return km.kmer_maps(cur.curate(T(spark, d, "documents"), "n_chars"), "doc_id", "text", [5, 6])
@@ -311,16 +330,66 @@ def fasta_export(spark, d):
 GENBANK = "LOCUS       {acc} {n} bp DNA\nACCESSION   {acc}\nVERSION     {acc}.1\nSOURCE      {org}\n  ORGANISM  {org}\n            Viruses; {org}.\nFEATURES             Location/Qualifiers\n     source          1..9\n                     /host=\"{host}\"\n                     /db_xref=\"taxon:{tax}\"\n     CDS             1..6\n                     /protein_id=\"P{acc}\"\n                     /product=\"{host}\"\n                     /translation=\"MKV\"\nORIGIN\n        1 atgaaagtt\n//\n"
 
 
-@query("""SELECT 'PS' || s_suppkey AS protein_id, s_name AS product, 'ATGAAA' AS nt_sequence, 'MKV' AS aa_sequence, 'S' || s_suppkey || '.1' AS accession, CAST(s_nationkey AS VARCHAR) AS taxon_id, 'org' AS organism, s_name AS host, 1 AS strand FROM supplier""")
-def genbank_parse(spark, d):
+_GENES = """SELECT 'PS' || s_suppkey AS protein_id, s_name AS product, 'ATGAAA' AS nt_sequence, 'MKV' AS aa_sequence, 'S' || s_suppkey || '.1' AS accession, CAST(s_nationkey AS VARCHAR) AS taxon_id, 'org' AS organism, s_name AS host, 1 AS strand FROM supplier"""
+
+
+def _genbank_texts(spark, d):
+    """(name, text): a record for each supplier."""
     s = T(spark, d, "supplier")
     text = F.lit(GENBANK)
     for k, v in (("{acc}", F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))), ("{n}", F.lit("9")), ("{org}", F.lit("org")), ("{host}", F.col("s_name")), ("{tax}", F.col("s_nationkey").cast("string"))):
         text = F.replace(text, F.lit(k), v)
-    genes = fmt.genbank_genes(s.select(F.col("s_name").alias("path"), text.alias("content")))
+    return s.select(F.col("s_name").alias("path"), text.alias("content"))
+
+
+def _gene_columns(genes):
     return genes.select("protein_id", "product", "nt_sequence", "aa_sequence", "metadata_virus.accession", "metadata_virus.taxon_id", "metadata_virus.organism", "metadata_virus.host", "location.strand")
 
 
+@query(_GENES)
+def genbank_parse(spark, d):
+    return _gene_columns(fmt.genbank_genes(_genbank_texts(spark, d)))
+
+
+@query(_GENES)
+def genbank_many_records(spark, d):
+    """The same records from a few files of many records, read record by record."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/kinfold/genbank-{uuid.uuid4().hex}"
+    _genbank_texts(spark, d).select(F.regexp_replace("content", "\n$", "").alias("value")).coalesce(2).write.text(path)
+    genes, errors = fmt.split_errors(fmt.genbank_genes(fmt.genbank_records(spark, path)))
+    return _gene_columns(genes)
+
+
+class SupplierRecords:
+    """A catalogue of a record for each number of a supplier."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def count(self) -> int:
+        return self.n
+
+    def names(self, start: int, end: int) -> list[str]:
+        return [f"S{i}" for i in range(start, end)]
+
+    def fetch(self, names: list[str]) -> dict[str, str]:
+        return {x: f"LOCUS       {x}" for x in names}
+
+
+@query("SELECT 'S' || s_suppkey AS accession, 'LOCUS       S' || s_suppkey AS content, s_name AS name FROM supplier")
+def fetched_records(spark, d):
+    """Records asked for in batches by a data source, joined to their table; twice, from the checkpoint on."""
+    import uuid
+
+    s, at = T(spark, d, "supplier"), f"{shared_dir(spark)}/kinfold/fetched-{uuid.uuid4().hex}"
+    n = s.agg(F.coalesce(F.max("s_suppkey") + 1, F.lit(0))).first()[0]
+    for part in (n // 2, n):
+        got = rec.fetch_new(spark, rec.record_source(SupplierRecords(part), "supplier_records", size=7, pause=0), f"{at}/records", f"{at}/checkpoint")
+    return got.join(s.select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("accession"), F.col("s_name").alias("name")), "accession").select("accession", "content", "name")
+
+
 @query("SELECT key AS id FROM (SELECT doc_id AS key FROM documents INTERSECT SELECT doc_id FROM labels)")
 def id_intersection(spark, d):
     return T(spark, d, "documents").select(F.col("doc_id").alias("id")).intersect(T(spark, d, "labels").select("doc_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -60,6 +61,16 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = r"\.(gb|genbank)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").rlike(pattern)).select("path", "content")
 
 
+def genbank_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, content): a row for each record of the files at ``path``, wherever in a file it stands.
+
+    Records end with a line of two slashes, by which Spark's text reader cuts files, so that one large file spreads over tasks
+    and is never a cell; what has no LOCUS line is no record. Files must end their lines by LF.
+    """
+    rows = spark.read.option("lineSep", "\n//\n").text(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.concat("value", F.lit("\n//\n")).alias("content")).where(F.col("value").rlike("(?m)^LOCUS"))
+
+
 _FEATURE = re.compile(r"^ {5}(\S+)\s+(.+)$")
 _QUALIFIER = re.compile(r"^ {21}/([^=\s]+)(?:=(.*))?$")
 
@@ -124,7 +135,8 @@ def parse_genbank(text: str):
 
 
 def genbank_genes(files: DataFrame) -> DataFrame:
-    """Gene documents of (path, content) rows. A file that breaks gives its genes so far and a row with ``error``."""
+    """Gene documents of (path, content) rows, of files or of single records (``genbank_records``). One that breaks gives
+    its genes so far and a row with ``error``; a place beyond 32 bits breaks it."""
     names = [f.split()[0] for f in ("protein_id", "product", "nt_sequence", "aa_sequence", "nt_length", "aa_length", "metadata_virus", "location", "error")]
     meta = pa.struct([("accession", pa.string()), ("taxon_id", pa.string()), ("organism", pa.string()), ("host", pa.string()), ("taxonomy", pa.list_(pa.string()))])
     spot = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("strand", pa.int32())])
@@ -136,15 +148,13 @@ def genbank_genes(files: DataFrame) -> DataFrame:
                 rows = []
                 try:
                     for gene in parse_genbank(content.decode("latin-1")):
+                        if max(gene["location"]["end"] or 0, gene["nt_length"], gene["aa_length"]) >= 1 << 31:
+                            raise OverflowError(f"a place beyond 32 bits in {gene['metadata_virus']['accession']}")
                         rows.append(gene)
                 except Exception as e:  # noqa: BLE001
                     rows.append({n: None for n in names} | {"error": f"{path}: {type(e).__name__}: {e}"})
-                try:
-                    batch = pa.RecordBatch.from_pylist(rows, schema=schema)
-                except (pa.ArrowInvalid, OverflowError) as e:  # a number beyond the column's type
-                    batch = pa.RecordBatch.from_pylist([{n: None for n in names} | {"error": f"{path}: {type(e).__name__}: {e}"}], schema=schema)
-                if batch.num_rows:
-                    yield batch
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, GENE_DDL)
 
@@ -250,10 +260,23 @@ def fixed_width(rows: list[dict], title: str) -> str:
     return "\n".join([title, "=" * len(title), line({h: h for h in heads}), *map(line, rows)]) + "\n"
 
 
-def write_report(df: DataFrame, path: str, title: str, limit: int = 1000) -> None:
-    """A fixed-width text file of a small frame (at most ``limit`` rows), written by Spark."""
-    rows = [r.asDict() for r in df.limit(limit).collect()]
-    df.sparkSession.createDataFrame([(fixed_width(rows, title),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def write_report(df: DataFrame, path: str, title: str, order: Sequence[str] = ()) -> None:
+    """A fixed-width text file of all rows in ``order`` (else in that of their columns), written by Spark.
+
+    Column widths are an aggregate; lines are made by expressions and sorted over ranges, in as many files.
+    """
+    spark, names = df.sparkSession, df.columns
+    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(f"_{c}") for c in names], *[F.col(c) for c in (order or names)])
+    wide = text.agg(*[F.max(F.length(f"_{c}")).alias(c) for c in names]).first()
+    if wide[0] is None:
+        rows = spark.createDataFrame([(title,), ("(no rows)",)], "value string").coalesce(1)
+    else:
+        width = {c: max(len(c), wide[c]) for c in names}
+        line = F.rtrim(F.concat_ws("  ", *[F.rpad(f"_{c}", width[c], " ") for c in names]))
+        head = [title, "=" * len(title), "  ".join(c.ljust(width[c]) for c in names).rstrip()]
+        body = materialize(text.select(*(order or names), line.alias("value")).orderBy(*(order or names)).select("value"), "report")
+        rows = spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).union(body)
+    rows.write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinfold.functions.sequences import mask_rare_residues, padded_hamming
-from kinfold.operators.knn import knn
-from kinfold.plans.tables import materialize
+from kinfold.functions.vectors import l2_normalize
+from kinfold.operators.curation import sample_rows
+from kinfold.operators.ivf import approximate_knn
+from kinfold.operators.leiden import near_blocks
+from kinfold.plans.tables import discard, materialize
 
 
 def landmarks(df: DataFrame, id_col: str, seq_col: str, n: int) -> DataFrame:
@@ -177,47 +180,148 @@ def fit_curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def umap(df: DataFrame, id_col: str, vec_col: str, d: int = 2, k: int = 15, min_dist: float = 0.1, metric: str = "cosine", seed: int = 42, epochs: int = 200, max_rows: int = 500_000) -> DataFrame:
-    """(id, vector): neighbours and memberships distributed, layout of the sampled set on the driver."""
-    spark = df.sparkSession
-    ids = [r[0] for r in df.select(F.col(id_col).cast("bigint")).orderBy(id_col).limit(max_rows + 1).collect()]
-    if len(ids) > max_rows:
-        raise ValueError(f"more than {max_rows} rows; sample first or raise max_rows")
-    edges = fuzzy_graph(knn(df, id_col, vec_col, k, metric), k).orderBy("src", "dst").collect()  # rows times k at most
-    at, n = {x: i for i, x in enumerate(ids)}, len(ids)
-    rng = np.random.default_rng(seed)
-    if not edges:
-        return spark.createDataFrame([(x, [0.0] * d) for x in ids], "id bigint, vector array<double>")
-    a, b = fit_curve(min_dist)
-    i, j = np.array([at[e["src"]] for e in edges]), np.array([at[e["dst"]] for e in edges])
-    w = np.array([e["weight"] for e in edges])
+def _spectral(n: int, d: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The leading vectors of the normalised adjacency, the first being trivial, within 10 of the origin."""
     deg = np.bincount(i, w, n) + np.bincount(j, w, n)
     s = 1 / np.sqrt(np.maximum(deg, 1e-12))
     Y = np.linalg.qr(rng.standard_normal((n, d + 1)))[0]
-    for _ in range(100):  # leading vectors of the normalised adjacency, the first being trivial
+    for _ in range(100):
         Z = Y.copy()
         x = (w * s[i] * s[j])[:, None]
         np.add.at(Z, i, x * Y[j])
         np.add.at(Z, j, x * Y[i])
         Y = np.linalg.qr(Z)[0]
     Y = Y[:, 1 : d + 1]
-    Y = 10 * Y / max(np.abs(Y).max(), 1e-12) + rng.normal(0, 1e-4, (n, d))
-    src, dst, p = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w]) / w.max()
-    for epoch in range(epochs):
-        lr = 1 - epoch / epochs
+    return 10 * Y / max(np.abs(Y).max(), 1e-12) + rng.normal(0, 1e-4, Y.shape)
+
+
+def _descend(Y: np.ndarray, i: np.ndarray, j: np.ndarray, p: np.ndarray, curve: tuple[float, float], epochs: range, total: int, rng: np.random.Generator, pool: np.ndarray | None = None) -> np.ndarray:
+    """Epochs of the layout's gradient: edges pull as often as their strength ``p`` says, five random points push each
+    time. These come from all rows, or from ``pool``, points that stay where they are."""
+    (a, b), src, dst, p = curve, np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([p, p])
+    for epoch in epochs:
+        lr = 1 - epoch / total
         m = rng.random(len(p)) < p
         u, v = src[m], dst[m]
         delta = Y[u] - Y[v]
         q = (delta**2).sum(1)
         g = np.where(q > 0, -2 * a * b * np.maximum(q, 1e-12) ** (b - 1) / (1 + a * q**b), 0)[:, None] * delta
         np.add.at(Y, u, lr * np.clip(g, -4, 4))
+        others = Y if pool is None else pool
         for _ in range(5):
-            z = rng.integers(0, n, len(u))
-            delta = Y[u] - Y[z]
+            delta = Y[u] - others[rng.integers(0, len(others), len(u))]
             q = (delta**2).sum(1)
             g = np.where(q > 0, 2 * b / ((0.001 + q) * (1 + a * q**b)), 0)[:, None] * delta
             np.add.at(Y, u, lr * np.clip(g, -4, 4))
-    return spark.createDataFrame([(x, [float(t) for t in Y[k_]]) for k_, x in enumerate(ids)], "id bigint, vector array<double>")
+    return Y
+
+
+def principal_axes(df: DataFrame, id_col: str, vec_col: str, d: int) -> DataFrame:
+    """(id, vector): rows on the first ``d`` principal axes, within 10 of the origin; missing axes are 0.
+
+    Tasks return sums and products of their rows; the driver decomposes one matrix of the columns squared.
+    """
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+
+    def matrix(b: pa.RecordBatch) -> np.ndarray:
+        return np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
+
+    def gram(batches):
+        for b in batches:
+            if b.num_rows:
+                X = np.column_stack([np.ones(b.num_rows), matrix(b)])
+                G = X.T @ X
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(G))), pa.array(list(G), pa.list_(pa.float64()))], names=["i", "row"])
+
+    parts = rows.mapInArrow(gram, "i bigint, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    m = max((r["i"] for r in parts), default=0) + 1
+    G = np.zeros((m, m))
+    for r in parts:
+        G[r["i"], r["j"]] = r["x"]
+    mean = G[0, 1:] / max(G[0, 0], 1)
+    axes = np.linalg.eigh(G[1:, 1:] / max(G[0, 0], 1) - np.outer(mean, mean))[1][:, ::-1][:, :d] if m > 1 else np.zeros((0, 0))
+    axes = np.pad(axes, ((0, 0), (0, d - axes.shape[1])))
+
+    def project(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list((matrix(b) - mean) @ axes if b.num_rows else []), pa.list_(pa.float64()))], names=["id", "vector"])
+
+    out = materialize(rows.mapInArrow(project, "id bigint, vector array<double>"), "principal-axes")
+    most = out.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0]
+    return out.select("id", F.transform("vector", lambda x: x * F.lit(10 / (most or 1.0))).alias("vector"))
+
+
+#: Points of the whole layout that push the points of every block.
+POOL = 4096
+
+
+def umap(df: DataFrame, id_col: str, vec_col: str, d: int = 2, k: int = 15, min_dist: float = 0.1, metric: str = "cosine", seed: int = 42, epochs: int = 200, block: int = 20_000, rounds: int = 20) -> DataFrame:
+    """(id, vector): a layout of the fuzzy graph of the ``k`` (approximately) nearest neighbours.
+
+    A table that fits one block is laid out in that block's task, from a spectral start. A larger one starts from its principal axes, and
+    its epochs are dealt over rounds: in each, vertices near each other form blocks (``near_blocks``, drawn anew every time), a task
+    moves the points of a block along the edges within it, and a bounded sample of all points pushes them; coordinates go from round to
+    round as a table. No task holds more than a block, and nothing but the sample and one small matrix comes to the driver.
+    """
+    ids = df.select(F.col(id_col).cast("bigint").alias("id"))
+    n = ids.count()
+    near = approximate_knn(df, id_col, vec_col, k, metric)
+    edges = materialize(fuzzy_graph(near, k), "umap-edges")
+    most = edges.agg(F.max("weight")).first()[0] or 1.0
+    curve = fit_curve(min_dist)
+    e_names, whole = ("src", "dst", "weight"), n <= block
+
+    def table(at: list[int], Y: np.ndarray) -> pa.Table:
+        return pa.table({"id": pa.array(at, pa.int64()), "vector": pa.array([[float(t) for t in y] for y in Y], pa.list_(pa.float64()))})
+
+    def arrays(right: pa.Table, ids: list[int]):
+        right = right.sort_by([("src", "ascending"), ("dst", "ascending")])
+        at = {x: i for i, x in enumerate(ids)}
+        i, j = (np.array([at[x] for x in right.column(c).to_pylist()], int) for c in ("src", "dst"))
+        return i, j, right.column("weight").to_numpy().astype(float)
+
+    if whole:
+
+        def run(key, left, right):
+            ids, rng = sorted(left.column("id").to_pylist()), np.random.default_rng(seed)
+            i, j, w = arrays(right, ids)
+            if not len(w):
+                return table(ids, np.zeros((len(ids), d)))
+            return table(ids, _descend(_spectral(len(ids), d, i, j, w, rng), i, j, w / most, curve, range(epochs), epochs, rng))
+
+        left, right = ids.select("id", F.lit(0).alias("block")), edges.select(F.lit(0).alias("block"), *e_names)
+        return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, "id bigint, vector array<double>")
+
+    places = materialize(principal_axes(df if metric != "cosine" else df.select(id_col, l2_normalize(F.col(vec_col)).alias(vec_col)), id_col, vec_col, d), "umap-places")
+    v = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("part", F.col("id"))
+    v = materialize(v, "umap-vertices")
+    by = "key", "salt"
+
+    def mover(r: int, span: range, pool: np.ndarray):
+        """What a round's task does with a block."""
+
+        def run(key, left, right):
+            left = left.sort_by("id")
+            ids, rng = left.column("id").to_pylist(), np.random.default_rng([seed, r, key[0].as_py() & 0xFFFFFFFF, key[1].as_py()])
+            Y = np.array(left.column("vector").to_pylist(), float).reshape(len(ids), d)
+            i, j, w = arrays(right, ids)
+            return table(ids, _descend(Y, i, j, w / most, curve, span, epochs, rng, pool) if len(w) else Y)
+
+        return run
+
+    for r in range(rounds):
+        span = range(epochs * r // rounds, epochs * (r + 1) // rounds)
+        pool = np.array([x["vector"] for x in sample_rows(places, "id", POOL, seed + r).collect()])
+
+        dealt = near_blocks(v, edges, block, seed + r)
+        where = dealt.select("id", *by)
+        a, b = where.toDF("src", "k", "s"), where.toDF("dst", "k2", "s2")
+        inside = edges.join(a, "src").join(b, "dst").where("k = k2 and s = s2").select("k", "s", *e_names)
+        moved = where.join(places, "id").groupBy(*by).cogroup(inside.groupBy("k", "s")).applyInArrow(mover(r, span, pool), "id bigint, vector array<double>")
+        alone = places.join(v, "id", "left_anti")  # a vertex without an edge stays
+        old, places = places, materialize(moved.unionByName(alone), "umap-places")
+        discard(old, dealt)
+    return places
 
 
 def hash_model(width: int = 32) -> Callable[[list[str]], list[np.ndarray]]:
@@ -250,7 +354,7 @@ def budget_batches(lengths: list[int], budget: int) -> list[list[int]]:
     return out
 
 
-#: (truncation, tokens a batch, pooling over special tokens, rare residues masked and residues spaced) of the three embedding runs.
+#: Fixed values: (truncation, tokens a batch, pooling over special tokens, rare residues masked and residues spaced) of the three embedding runs.
 MODELS = {"esm2": (1175, 64 * 1175, True, False), "esm3": (1000, 500, False, False), "prott5": (1000, 1200, True, True)}
 
 

@@ -146,7 +146,7 @@ def communities(n: int, edges, kind: str = "modularity", gamma: float = 1.0, see
 SPREAD = 3
 
 
-def _deal(v: DataFrame, e: DataFrame, block: int, seed: int) -> DataFrame:
+def near_blocks(v: DataFrame, e: DataFrame, block: int, seed: int) -> DataFrame:
     """(id, size, degree, part, key, salt, frozen): vertices in blocks of whole communities that are near each other.
 
     Leaders are drawn from the communities by a seeded hash, one for a quarter of a block, and communities join the
@@ -228,7 +228,7 @@ def _one_pass(e: DataFrame, start: DataFrame, kind: str, gamma: float, total: fl
         for r in range(1 if whole else rounds):
             turn = seed + 1000 * level + r
             one = {"key": F.lit(0).cast("bigint"), "salt": F.lit(0), "frozen": F.lit(False)}
-            dealt = v.withColumns(one) if whole else _deal(v, e, block, turn)
+            dealt = v.withColumns(one) if whole else near_blocks(v, e, block, turn)
             out = _blockwise(dealt, e, kind, gamma, total, turn, whole)
             v = v.drop("part").join(out.select("id", "part"), "id")
             if not whole:

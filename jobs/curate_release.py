@@ -11,6 +11,7 @@ from jobs.common import command_line, log, settings
 from kinfold.functions.sequences import nonempty
 from kinfold.operators.curation import curate
 from kinfold.operators.features import lookup
+from kinfold.sources.formats import fasta_lines
 
 #: ``low`` and ``high`` bound a sequence's length; ``annotation`` must not be empty; the report has a row for each ``group``.
 DEFAULTS = {"low": 30, "high": 1175, "group": "lang", "annotation": "source"}
@@ -48,9 +49,10 @@ def run(spark: SparkSession, records: str, families: str, out: str, config: dict
     and an annotation, and is the one of least identifier among equal sequences that pass; others are written too, with
     what rules them out first: unnamed, empty, unannotated, short, long, copy. ``keep_id`` names the kept one of equal sequences, or a record that is ruled out itself;
     ``family`` comes from the labels at ``families`` (-1 without one). ``out/records`` is Parquet in a partition for each
-    status, so that readers of the release open only what is kept; ``out/report`` is JSON with a row for each group.
+    status, so that readers of the release open only what is kept; ``out/fasta`` has the kept sequences as the clustering tools read
+    them; ``out/report`` is JSON with a row for each group.
 
-    Both are replaced whole, so a rerun gives the same, also after a failure. Equal sequences meet in a partial minimum, and in a join of two
+    All are replaced whole, so a rerun gives the same, also after a failure. Equal sequences meet in a partial minimum, and in a join of two
     plain exchanges, so thousands of copies are no hot group. Rows that repeat an identifier are judged one by one.
     """
     s = settings(config, DEFAULTS)
@@ -63,6 +65,7 @@ def run(spark: SparkSession, records: str, families: str, out: str, config: dict
     rows = lookup(rows, labels, "doc_id", "family").withColumn("status", status)
     rows.select([c.split()[0] for c in RECORDS.split(", ")]).write.mode("overwrite").partitionBy("status").parquet(f"{out}/records")
     written = spark.read.schema(RECORDS).parquet(f"{out}/records")
+    fasta_lines(written.where("status = 'kept'"), "doc_id", "text").write.mode("overwrite").text(f"{out}/fasta")
     _report(written, s["group"]).coalesce(1).write.mode("overwrite").json(f"{out}/report")
     counts = {r["status"]: r["count"] for r in written.groupBy("status").count().collect()}  # seven statuses at most
     log.info("curate_release: read %d records of %s, wrote %s to %s", sum(counts.values()), records, dict(sorted(counts.items())), out)

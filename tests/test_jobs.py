@@ -46,6 +46,8 @@ def test_release_rules_and_reruns(spark, release, caplog):
     de = spark.read.json(f"{release[2]}/report").where("lang = 'de'").first()
     assert (de["original"], de["curated"], de["copies"], de["percent_removed"], de["longest"]) == (5, 2, 0, 60.0, 1175)
     assert {p.name for p in Path(f"{release[2]}/records").glob("status=*")} == {f"status={s}" for s in ("kept", "copy", "short", "long", "empty", "unannotated", "unnamed")}
+    fasta = [r["value"] for r in spark.read.option("lineSep", "\n>").text(f"{release[2]}/fasta").collect()]
+    assert sorted(x.lstrip(">").split("\n")[0] for x in fasta) == ["1", "10", "11", "3"]
     # bounds are settings, a rerun with others leaves nothing of the old ones
     assert Counter(r["status"] for r in curate_release.run(spark, *release, {"low": 1, "high": 2000}).collect()) == {"kept": 6, "copy": 1, "empty": 2, "unannotated": 3, "unnamed": 1}
     with pytest.raises(ValueError):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
@@ -236,7 +237,8 @@ class WordTokenizer:
         self.merges = MergeList(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.hint = min((a[:2] for a in self.added), default=None)
+        #: What all added tokens begin with; it may be empty.
+        self.hint = os.path.commonprefix(list(self.added))
         self.words = regex.compile(f"[^{WHITE}]+")
         self.gap = regex.compile(f"[{WHITE}]")
         self.odd = regex.compile("[\x1c-\x1f]")

@@ -20,6 +20,7 @@ DISTANCE = 44
 SEGMENTS = 4  # of 32 bits, in a ring
 HOT = 256  # sets in a bucket beyond which it is compared in blocks
 BLOCK = 1024
+BLOCK_ITEMS = 1 << 22  # of all sets of a block, on average
 
 _FIRST = [("doc_id", pa.int64()), ("sha", pa.string()), ("vid", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64()))]
 _SET = [("vid", pa.int64()), ("items", pa.list_(pa.int64()))]
@@ -210,7 +211,7 @@ def near_firsts(docs: DataFrame) -> DataFrame:
     Candidates share a rare shingle and pass the pigeonring test and the Hamming check of 128-bit
     SimHashes, whose distance is five deviations over that of such pairs; each is verified on
     its whole sets. Texts of one shingle set are one vertex. Components of candidates are
-    compared in pairs of blocks of BLOCK sets, each of which returns a forest of links, so that
+    compared in pairs of blocks of BLOCK sets, or fewer of long texts, each of which returns a forest of links, so that
     neither a frequent shingle nor a large group of near copies gives all its pairs as rows.
     Null texts count as empty; an empty table gives an empty table; other columns are not read.
     """
@@ -221,8 +222,11 @@ def near_firsts(docs: DataFrame) -> DataFrame:
     owners = materialize(held.groupBy("vid").agg(first, F.min("n").alias("n"), F.min("f1").alias("f1"), F.min("f2").alias("f2")), "near-owners")
     groups = materialize(connected_components(_candidates(held, owners)).withColumnRenamed("id", "vid"), "near-groups")
     discard(held)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("m"))
-    members = materialize(groups.join(sizes, "component").join(owners, "vid"), "near-members")
+    members = groups.join(owners, "vid")
+    # long sets count for several, so that a block is bounded in items too
+    large = F.ceil(F.sum("n") / (BLOCK_ITEMS // BLOCK))
+    sizes = members.groupBy("component").agg(F.greatest(F.count("*"), large).alias("m"))
+    members = materialize(members.join(sizes, "component"), "near-members")
     wanted = members.select(F.col("first.doc_id").alias("d"), F.col("first.sha").alias("sha"))
     texts = rows.join(wanted, (rows.sha == wanted.sha) & rows.doc_id.eqNullSafe(wanted.d), "left_semi").select("text")
     sets = materialize(texts.mapInArrow(_sets, spark_ddl(_SET)).dropDuplicates(["vid"]), "near-sets")

@@ -122,3 +122,18 @@ def test_plan_places_every_rank_once(counts):
 def test_window_must_be_a_power_of_two():
     with pytest.raises(ValueError):
         packing.plan_windows({3: 1}, 1000)
+
+
+def test_added_tokens_with_other_beginnings():
+    import json
+
+    from kinfold.llm.bpe import WordTokenizer
+
+    spec = json.loads(tokenizer_spec())
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 49408, "content": "[BOX]"})
+    text = json.dumps(spec)
+    lib = Tokenizer.from_str(text)
+    for t in ("abc [BOX] def", "x[BOX]y<|endoftext|>", "no such"):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert WordTokenizer(text).encode(t) == want
+        assert LibraryTokens(text).encode([t]) == [b"".join(i.to_bytes(4, "little") for i in want)]

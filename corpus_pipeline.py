@@ -10,7 +10,7 @@ from kinfold.llm.mixing import mix_sources
 from kinfold.llm.near_texts import near_firsts
 from kinfold.llm.quality_mil import filter_quality, fit_quality
 from kinfold.llm.queries import remainder, tokenizer_spec
-from kinfold.plans.tables import materialize, table
+from kinfold.plans.tables import discard, materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of ``docs`` for each pair ``(doc_id, sha)`` of identifier and text digest in ``kept``.
 
-    Of rows that share both, the first in the order of all columns stays.
+    Of rows that share both, the first in the order of all columns stays; maps have no order.
     """
     key = [F.coalesce("doc_id", F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("key_null")]
-    rows = docs.groupBy(*key, F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    ordered = [c for c, kind in docs.dtypes if "map<" not in kind]
+    first = F.min(F.struct(*docs.columns)) if len(ordered) == len(docs.columns) else F.min_by(F.struct(*docs.columns), F.struct(*ordered))
+    rows = docs.groupBy(*key, F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).agg(first.alias("row"))
     return rows.join(kept.select(*key, "sha").distinct(), ["key_id", "key_null", "sha"], "left_semi").select("row.*")
 
 
@@ -79,5 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written before the next reads."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        old, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(old)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from jobs.common import command_line, log, settings
 from kinfold.operators.features import last_wins, pending
 from kinfold.operators.kmers import kmer_counts
+from kinfold.plans.tables import discard, materialize
 
 #: ``ks``: the lengths of k-mers. ``files_per_batch``: how many files a batch takes at most; null takes all that are new.
 DEFAULTS = {"ks": [5], "files_per_batch": None}
@@ -46,11 +47,11 @@ def run(spark: SparkSession, records: str, out: str, checkpoint: str, config: di
         rows = batch.observe(seen, F.count("*").alias("n")).where("doc_id is not null")
         rows = rows.select("doc_id", "text", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("seq"))
         done = spark.read.schema(VECTORS).parquet(out).where(F.col("batch") != number)
-        new = pending(last_wins(rows, ["doc_id"], ["text"]).select("doc_id", "seq"), done, "doc_id").persist()
+        new = materialize(pending(last_wins(rows, ["doc_id"], ["text"]).select("doc_id", "seq"), done, "doc_id"), "kmer-ingest")
         vectors = _vectors(new, s["ks"]).withColumn("batch", F.lit(number).cast("bigint")).select(names)
         vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "k").parquet(out)
         log.info("kmer_ingest: batch %d read %d rows of %s, wrote %d new records to %s", number, seen.get["n"], records, new.count(), out)
-        new.unpersist()
+        discard(new)
 
     stream = spark.readStream.schema(spark.read.parquet(records).select("doc_id", "text").schema)
     if s["files_per_batch"]:

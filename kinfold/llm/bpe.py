@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
@@ -38,6 +39,10 @@ class MergeList:
     """
 
     END = 0x20000
+    #: Prefixes up to this length are remembered with their last token.
+    HEAD = 8
+    #: Runs up to this length are encoded at once.
+    SHORT = 256
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], suffix: str = ""):
         self.suffix = suffix
@@ -55,11 +60,44 @@ class MergeList:
         self._whole: dict[str, bool] = {}
         #: The last token of short prefixes, which depends on the prefix alone.
         self.heads: dict[str, str] = {}
+        #: Lengths of the longer tokens that end in each pair, and in each three, of symbols, the longest first; and 1.
+        self.lengths, self.lengths3 = self._ends(2), self._ends(3)
+
+    def _ends(self, n: int) -> dict[str, tuple[int, ...]]:
         by: dict[str, set[int]] = {}
         for token in self.ids:
-            by.setdefault(token[-2:], set()).add(len(token))
-        #: Lengths of the longer tokens that end in each pair of symbols, the longest first; and 1.
-        self.lengths = {c: (*sorted(n - {1}, reverse=True), 1) for c, n in by.items()}
+            if len(token) >= n:
+                by.setdefault(token[-n:], set()).add(len(token))
+        pair = lambda end: {2} if end[-2:] in self.ids else set()
+        return {end: (*sorted(sizes | pair(end) - {1}, reverse=True), 1) for end, sizes in by.items()}
+
+    def whole(self, text: str) -> list[str]:
+        """The tokens of a run of few symbols at once: the chain of last tokens that a ``Transducer`` would find."""
+        last, ids, heads, two, three, pairs = [""], self.ids, self.heads, self.lengths, self.lengths3, self._pairs
+        if len(heads) > 150_000:
+            heads.clear()
+        for i in range(1, len(text) + 1):
+            if i <= self.HEAD and (token := heads.get(text[:i])):
+                last.append(token)
+                continue
+            sizes = three.get(text[i - 3 : i]) if i > 2 else None
+            for n in sizes or two.get(text[max(0, i - 2) : i], (1,)):
+                if n > i or (token := text[i - n : i]) not in ids:
+                    continue
+                prev = last[i - n]
+                ok = pairs.get((prev, token)) if prev else self.stands(token)
+                if ok or ok is None and self.adjoin(prev, token):
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"no token ends at {text[i - 1]!r}")
+            if i <= self.HEAD:
+                heads[text[:i]] = token
+        out, at = [], len(text)
+        while at:
+            out.append(last[at])
+            at -= len(out[-1])
+        return out[::-1]
 
     def _symbols(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and token != self.suffix:
@@ -152,7 +190,7 @@ class Transducer:
         if len(known) > 150_000:
             known.clear()
         for i in range(first, len(text) + 1):
-            if i < 24 and not self.base and (token := known.get(text[:i])):
+            if i <= m.HEAD and not self.base and (token := known.get(text[:i])):
                 last.append(token)
                 continue
             for n in m.lengths.get(text[max(0, i - 2) : i], (1,)):
@@ -161,7 +199,7 @@ class Transducer:
                     break
             else:
                 raise ValueError(f"no token ends at {text[i - 1]!r}")
-            if i < 24 and not self.base:
+            if i <= m.HEAD and not self.base:
                 known[text[:i]] = token
 
     def _chain(self, at: int) -> tuple[list[str], list[int]]:
@@ -270,12 +308,14 @@ class WordTokenizer:
         return pattern
 
     def _piece(self, piece: str) -> bytes:
-        symbols = self.merges.piece("".join(map(self.letters.__getitem__, piece.encode())))
-        run = Transducer(self.merges)
-        out = list(run.feed(symbols))
-        out += run.finish()
-        ids = self.merges.ids
-        return np.array([ids[t] for t in out], "<u4").tobytes()
+        symbols = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+        symbols, ids = self.merges.piece(symbols), self.merges.ids
+        if len(symbols) <= self.merges.SHORT:
+            out = self.merges.whole(symbols)
+        else:
+            run = Transducer(self.merges)
+            out = [*run.feed(symbols), *run.finish()]
+        return array("I", [ids[t] for t in out]).tobytes()
 
     def _keep(self, word: str, got: bytes) -> bytes:
         """Remember a short word or piece; the older generation goes when the younger is full."""
@@ -290,7 +330,9 @@ class WordTokenizer:
         got = self._older.get(word)
         if got is not None:
             return self._keep(word, got)
-        text = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        text = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        if text == word and text.isalpha():
+            return self._keep(word, self._piece(word))
         out = []
         for p in self.pieces.findall(text):
             got = self._known.get(p) or self._older.get(p) or self._piece(p)

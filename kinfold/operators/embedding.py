@@ -357,12 +357,15 @@ def budget_batches(lengths: list[int], budget: int) -> list[list[int]]:
 #: Fixed values: (truncation, tokens a batch, pooling over special tokens, rare residues masked and residues spaced) of the three embedding runs.
 MODELS = {"esm2": (1175, 64 * 1175, True, False), "esm3": (1000, 500, False, False), "prott5": (1000, 1200, True, True)}
 
+#: What the messages of errors name after which a batch is tried again one by one.
+DEVICE_ERRORS = ("out of memory", "cuda", "internal assert")
+
 
 def embed(df: DataFrame, id_col: str, seq_col: str, model: str, provider: Callable[[], Callable] = hash_model) -> DataFrame:
     """(id, vector, model_name): mean-pooled states of a pluggable model, batched by tokens.
 
-    ``provider()`` builds the model once for each task. A batch that runs out of memory is
-    done again one by one; other errors fail the task. Empty sequences are left out.
+    ``provider()`` builds the model once for each task. A batch that runs out of memory, or whose
+    device fails (``DEVICE_ERRORS``), is done again one by one; other errors fail the task. Empty sequences are left out.
     """
     limit, budget, specials, spaced = MODELS[model]
 
@@ -375,7 +378,7 @@ def embed(df: DataFrame, id_col: str, seq_col: str, model: str, provider: Callab
                 try:
                     states = net([seqs[i] for i in group])
                 except (MemoryError, RuntimeError) as e:
-                    if not isinstance(e, MemoryError) and "out of memory" not in str(e).lower():
+                    if not isinstance(e, MemoryError) and not any(x in str(e).lower() for x in DEVICE_ERRORS):
                         raise
                     states = [net([seqs[i]])[0] for i in group]
                 for i, h in zip(group, states):

@@ -119,12 +119,15 @@ def davies_bouldin(df: DataFrame, label: str, vec: str, noise: int = -1) -> Data
 
 
 def calinski_harabasz(df: DataFrame, label: str, vec: str, noise: int = -1) -> DataFrame:
-    """[B / (k - 1)] / [W / (n - k)] from sums of squares by position."""
+    """[B / (k - 1)] / [W / (n - k)] from sums of squares by position; 1 where all rows lie on their centroids, null
+    with one cluster or with no more rows than clusters."""
     x = df.where(F.col(label) != noise).select(F.col(label).alias("label"), F.posexplode(vec).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
     g = x.groupBy("label", "pos").agg(F.count("*").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("*")).alias("w"))
     p = g.groupBy("pos").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), F.lit(2)) / F.sum("n")).alias("b"))
     t = p.agg(F.sum("b").alias("b"), F.sum("w").alias("w"), F.max("k").alias("k"), F.max("n").alias("n"))
-    return t.select(F.round((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k"))), 4).alias("calinski_harabasz"))
+    value = F.try_divide(F.try_divide("b", F.col("k") - 1), F.try_divide("w", F.col("n") - F.col("k")))
+    defined = (F.col("k") > 1) & (F.col("n") > F.col("k"))
+    return t.select(F.round(F.when(defined, F.when(F.col("w") == 0, 1.0).otherwise(value)), 4).alias("calinski_harabasz"))
 
 
 def purity_entropy(df: DataFrame, label: str, value: str) -> DataFrame:

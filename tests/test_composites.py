@@ -154,3 +154,34 @@ def test_prepared_residues(spark):
 
     two = spark.createDataFrame([(1, "AB"), (2, "CD")], "id bigint, s string").coalesce(1)
     assert embedding.embed(two, "id", "s", "esm2", breaks).count() == 2
+
+    def device(message):
+        def build():
+            def run(batch):
+                if len(batch) > 1:
+                    raise RuntimeError(message)
+                return [np.ones((3, 1))]
+
+            return run
+
+        return build
+
+    for message in ("CUDA error: device-side assert", "INTERNAL ASSERT FAILED at x.cpp", "CUDA Out Of Memory"):
+        assert embedding.embed(two, "id", "s", "esm2", device(message)).count() == 2
+    with pytest.raises(Exception, match="wrong shape"):
+        embedding.embed(two, "id", "s", "esm2", device("wrong shape")).count()
+
+
+def test_inner_measures_are_null_where_they_mean_nothing(spark):
+    rows = [(i, [float(i), 1.0], "a" if i % 2 else "b") for i in range(6)]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>, truth string")
+    label = lambda f: df.select("id", F.lit(0).alias("label")).rdd.map(lambda r: (r["id"], f(r["id"]))).toDF("id bigint, label int")
+    one = drivers.score(df, label(lambda i: 0), "s", "a", 2).first()
+    none = drivers.score(df, label(lambda i: -1), "s", "a", 2).first()
+    few = drivers.score(df, label(lambda i: i if i < 3 else -1), "s", "a", 2).first()  # as many rows as clusters
+    two = drivers.score(df, label(lambda i: i // 3), "s", "a", 2).first()
+    for r in (one, none, few):
+        assert r["silhouette"] is r["davies_bouldin"] is r["calinski_harabasz"] is None
+    assert two["silhouette"] is not None and two["clusters"] == 2
+    alone = drivers.score(df, label(lambda i: i if i < 3 else -1), "s", "a", 2, "fusion").first()
+    assert alone["silhouette"] == 0 and alone["calinski_harabasz"] is None

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from jobs.common import command_line, log, settings
 from kinfold.operators.features import last_wins, pending
-from kinfold.operators.kmers import kmer_counts
+from kinfold.operators.kmers import kmer_vectors
 from kinfold.plans.tables import discard, materialize
 
 #: ``ks``: the lengths of k-mers. ``files_per_batch``: how many files a batch takes at most; null takes all that are new.
@@ -17,15 +17,6 @@ DEFAULTS = {"ks": [5], "files_per_batch": None}
 VECTORS = "doc_id bigint, length int, n_distinct bigint, n_kmers bigint, vector string, batch bigint, k int"
 
 
-def _vectors(rows: DataFrame, ks: list[int]) -> DataFrame:
-    """(doc_id, k, length, n_distinct, n_kmers, vector): the sparse vector as ``kmer:count`` in the order of names."""
-    cells = kmer_counts(rows, "doc_id", "seq", ks)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kmer", "n"))), lambda x: F.concat(x["kmer"], F.lit(":"), x["n"])), " ")
-    some = cells.groupBy(F.col("id").alias("doc_id"), "k").agg(F.count("*").alias("n_distinct"), F.sum("n").alias("n_kmers"), text.alias("vector"))
-    wanted = rows.select("doc_id", F.length("seq").alias("length"), F.explode(F.array(*map(F.lit, ks))).alias("k"))
-    return wanted.join(some, ["doc_id", "k"], "left").fillna({"n_distinct": 0, "n_kmers": 0, "vector": ""})
-
-
 def run(spark: SparkSession, records: str, out: str, checkpoint: str, config: dict | None = None) -> DataFrame:
     """Vectorise the records of the files that have come to ``records`` since the last run; return the whole table.
 
@@ -48,7 +39,7 @@ def run(spark: SparkSession, records: str, out: str, checkpoint: str, config: di
         rows = rows.select("doc_id", "text", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("seq"))
         done = spark.read.schema(VECTORS).parquet(out).where(F.col("batch") != number)
         new = materialize(pending(last_wins(rows, ["doc_id"], ["text"]).select("doc_id", "seq"), done, "doc_id"), "kmer-ingest")
-        vectors = _vectors(new, s["ks"]).withColumn("batch", F.lit(number).cast("bigint")).select(names)
+        vectors = kmer_vectors(new, "doc_id", "seq", s["ks"]).withColumnRenamed("id", "doc_id").withColumn("batch", F.lit(number).cast("bigint")).select(names)
         vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "k").parquet(out)
         log.info("kmer_ingest: batch %d read %d rows of %s, wrote %d new records to %s", number, seen.get["n"], records, new.count(), out)
         discard(new)

@@ -149,7 +149,7 @@ def kmer_profile_6(spark, d):
 
 @query()
 def kmer_vocab_by_k(spark, d):
-    return km.k_statistics(km.kmer_counts(T(spark, d, "documents"), "doc_id", "text", range(3, 9)))
+    return km.k_statistics_of(T(spark, d, "documents"), "doc_id", "text", range(3, 9))
 
 
 @query("""SELECT substr(text, CAST(i AS BIGINT), 3) AS key, count(*) AS n FROM documents, range(1, length(text) - 1) AS r(i) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""")

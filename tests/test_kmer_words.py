@@ -17,30 +17,20 @@ def _want(rows, ks):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk,seen,letters", [(1 << 21, 1 << 21, 256), (60, 5, 6)])
-def test_statistics_of_words(spark, monkeypatch, chunk, seen, letters):
-    for name, x in (("CHUNK", chunk), ("SEEN", seen), ("LETTERS", letters)):
-        monkeypatch.setattr(km, name, x)
+@pytest.mark.parametrize("chunk,letters", [(1 << 22, 256), (60, 6)])
+def test_statistics_of_words(spark, monkeypatch, chunk, letters):
+    monkeypatch.setattr(km, "CHUNK", chunk)
+    monkeypatch.setattr(km, "LETTERS", letters)
     r = random.Random(4)
     kinds = ["ab", "abcé", "xyz\U0001f600", "".join(map(chr, range(0x4E00, 0x4E00 + 400)))]
-    rows = [(i, "".join(r.choice(kinds[i % 4]) for _ in range(r.randrange(0, 60)))) for i in range(80)] + [(5, rows_of_five) for rows_of_five in ("abab", "abac", "abc")] + [(90, None), (None, "zzz"), (None, "zza")]
+    rows = [(i, "".join(r.choice(kinds[i % 4] + "ab") for _ in range(r.randrange(0, 60)))) for i in range(80)] + [(5, s) for s in ("abab", "abac", "abc")] + [(90, None), (None, "zzz"), (None, "zza"), (91, "")]
     ks = [1, 2, 3, 8, 9]
     d = spark.createDataFrame(rows, "id bigint, s string")
     assert sorted(map(tuple, km.k_statistics_of(d, "id", "s", ks).collect())) == _want(rows, ks)
-    # in this process, where the limits hold
-    for k in ks:
-        words, cells = set(), 0
-        w = km._Words([k])
-        for a in range(0, 80, 7):
-            for b in w.see([s for _, s in rows[a : a + 7] if s]):
-                words |= {x.decode("utf-32-be") for x in b.column("kmer").to_pylist() if x is not None}
-                cells += sum(b.column("n").to_pylist())
-        own = [{s[j : j + k] for j in range(len(s) - k + 1)} for _, s in rows[:84] if s]
-        assert words == set().union(*own) and cells == sum(map(len, own))
-
-
-def test_a_word_comes_from_a_task_once(spark):
-    """Not once for each row that holds it, as cells do."""
-    rows = spark.createDataFrame([(i, "abcabd" * 3) for i in range(40)], "id bigint, seq string").coalesce(1)
-    found = km._row_words(rows, [3]).where("kmer is not null").collect()
-    assert len(found) == 6 and len({bytes(r["kmer"]) for r in found}) == 6
+
+
+def test_words_are_sent_packed(spark):
+    """A row for each part of the words of many sequences, and not one for each cell."""
+    d = spark.createDataFrame([(i, f"abcabd{i}" * 30) for i in range(400)], "id bigint, seq string")
+    plan = km._word_statistics(d, [3])._jdf.queryExecution().executedPlan().toString()
+    assert "kmer" not in plan and "words" in plan
